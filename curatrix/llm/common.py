@@ -70,8 +70,9 @@ def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def blocks_of(bits: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    return bits >> width, bits & ((1 << width) - 1)
+def side(df: DataFrame, most_rows: int = 1_000_000) -> DataFrame:
+    """``df`` (a written table of narrow rows) as a join side: broadcast up to ``most_rows``, else shuffled."""
+    return F.broadcast(df) if df.count() <= most_rows else df
 
 
 def bitmap(df: DataFrame, column: str, rows: int, most_bits: int = 28) -> np.ndarray:

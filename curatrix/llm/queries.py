@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import langid
+from . import langid, simhash
 
 
 def queries() -> dict:
     return {
         "op1_language_id": langid.query,
+        "op5_simhash_near_dedup": simhash.query,
     }
 
 

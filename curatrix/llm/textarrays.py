@@ -50,7 +50,7 @@ def column(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     if isinstance(array, pa.ChunkedArray):
         array = array.combine_chunks()
     if array.null_count:
-        array = array.fill_null("")
+        array = array.fill_null("" if pa.types.is_string(array.type) or pa.types.is_large_string(array.type) else b"")
     wide = pa.types.is_large_string(array.type) or pa.types.is_large_binary(array.type)
     _, offs, data = array.buffers()
     if len(array) == 0 or offs is None:
