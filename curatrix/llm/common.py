@@ -70,6 +70,17 @@ def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Column names that ``df`` doesn't have yet."""
+    have, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        name = f"__{name}"
+        while name.lower() in have:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def side(df: DataFrame, most_rows: int = 1_000_000) -> DataFrame:
     """``df`` (a written table of narrow rows) as a join side: broadcast up to ``most_rows``, else shuffled."""
     return F.broadcast(df) if df.count() <= most_rows else df

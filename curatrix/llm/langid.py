@@ -242,7 +242,7 @@ def identify(docs: DataFrame, **how) -> DataFrame:
 def keep_known(docs: DataFrame, **how) -> DataFrame:
     """The documents that are not rejected, with the columns they came with."""
     common.tune(docs.sparkSession)
-    mark = "__language_" + "_".join(docs.columns)[:20]
+    (mark,) = common.fresh(docs, "language")
     return docs.withColumn(mark, label(docs, fit(docs, **how))).filter(F.col(mark)["accepted"]).drop(mark)
 
 

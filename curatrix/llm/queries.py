@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from . import langid, simhash
+from . import langid, simhash, suffix
 
 
 def queries() -> dict:
     return {
         "op1_language_id": langid.query,
         "op5_simhash_near_dedup": simhash.query,
+        "op9_suffix_array_dedup": suffix.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op9_suffix_array_dedup": suffix.ORACLE,
+    }

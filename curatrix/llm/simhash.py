@@ -309,16 +309,16 @@ def keep_first(docs: DataFrame, cell_rows: int = CELL_ROWS) -> DataFrame:
     """The documents without later copies, with the columns they came with."""
     common.tune(docs.sparkSession)
     prints, groups = _groups(docs, cell_rows)
-    gone = common.written(groups.filter(F.col("key") != F.col("stays.key")).select(F.col("key").alias("__gone")).distinct())
-    keyed = docs.withColumn("__key", common.row_key())
-    kept = keyed.join(common.side(gone), F.col("__key") == F.col("__gone"), "left_anti")
-    again = prints.groupBy("key").count().filter("count > 1").select(F.col("key").alias("__again"))
+    key, other, copy = common.fresh(docs, "key", "other_key", "copy")
+    gone = common.written(groups.filter(F.col("key") != F.col("stays.key")).select(F.col("key").alias(other)).distinct())
+    kept = docs.withColumn(key, common.row_key()).join(common.side(gone), F.col(key) == F.col(other), "left_anti")
+    again = prints.groupBy("key").count().filter("count > 1").select(F.col("key").alias(other))
     if again.limit(1).count():
-        marked = kept.join(again, F.col("__key") == F.col("__again"), "left")
-        order = Window.partitionBy("__key").orderBy(F.lit(1))
-        one = marked.filter("__again is not null").withColumn("__n", F.row_number().over(order)).filter("__n = 1").drop("__n")
-        kept = marked.filter("__again is null").union(one).drop("__again")
-    return kept.drop("__key")
+        marked = kept.join(again, F.col(key) == F.col(other), "left")
+        order = Window.partitionBy(key).orderBy(F.lit(1))
+        one = marked.filter(F.col(other).isNotNull()).withColumn(copy, F.row_number().over(order)).filter(F.col(copy) == 1).drop(copy)
+        kept = marked.filter(F.col(other).isNull()).union(one).drop(other)
+    return kept.drop(key)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
