@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
-from . import langid, simhash, suffix
+from . import langid, linededup, simhash, suffix
 
 
 def queries() -> dict:
     return {
         "op1_language_id": langid.query,
         "op5_simhash_near_dedup": simhash.query,
+        "op7_line_dedup": linededup.query,
         "op9_suffix_array_dedup": suffix.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op7_line_dedup": linededup.ORACLE,
         "op9_suffix_array_dedup": suffix.ORACLE,
     }
