@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import langid, linededup, simhash, suffix
+from . import langid, licenses, linededup, packing, simhash, suffix
 
 
 def queries() -> dict:
     return {
         "op1_language_id": langid.query,
+        "op2_packing": packing.query,
+        "op3_license_scan": licenses.query,
         "op5_simhash_near_dedup": simhash.query,
         "op7_line_dedup": linededup.query,
         "op9_suffix_array_dedup": suffix.query,
@@ -16,6 +18,8 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op2_packing": packing.ORACLE,
+        "op3_license_scan": licenses.ORACLE,
         "op7_line_dedup": linededup.ORACLE,
         "op9_suffix_array_dedup": suffix.ORACLE,
     }
