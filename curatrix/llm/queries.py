@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import langid, licenses, linededup, packing, simhash, suffix
+from . import bpe, chat, langid, licenses, linededup, packing, simhash, suffix
 
 
 def queries() -> dict:
@@ -10,9 +10,11 @@ def queries() -> dict:
         "op1_language_id": langid.query,
         "op2_packing": packing.query,
         "op3_license_scan": licenses.query,
+        "op4_bpe": bpe.query,
         "op5_simhash_near_dedup": simhash.query,
         "op7_line_dedup": linededup.query,
         "op9_suffix_array_dedup": suffix.query,
+        "op10_chat_windows": chat.query,
     }
 
 
