@@ -44,7 +44,10 @@ from .textarrays import ALNUM, column, hashes, mix64, slices, words
 BITS, SEGMENTS, SEGMENT_BITS = 192, 12, 16
 RADIUS = 35
 NEAR = RADIUS // SEGMENTS
+#: 12 segments are 6 siblings in twos: 6 * 6 > 35.
+PAIR_NEAR = RADIUS // (SEGMENTS // 2)
 CELL_ROWS = 1 << 20
+_ASKS = 1 << 18
 _LEAF = 48
 _VOTES = 100_000
 
@@ -149,52 +152,69 @@ def route(tree, values: np.ndarray, slack: int) -> tuple[np.ndarray, np.ndarray]
     return (np.concatenate(rows), np.concatenate(cells)) if rows else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
-def near_values(points: np.ndarray, queries: np.ndarray, slack: int = NEAR) -> tuple[np.ndarray, np.ndarray]:
-    """All (index of point, index of query) at distance <= slack, by a vantage-point tree over the points."""
-    left, right = [], []
-
-    def search(own: np.ndarray, asked: np.ndarray):
+def near_values(points: np.ndarray, queries: np.ndarray, slack: int = NEAR):
+    """Chunks of all (index of point, index of query) at distance <= slack, by a vantage-point tree over the points."""
+    stack, left, right, held = [(np.arange(len(points), dtype=np.int32), np.arange(len(queries), dtype=np.int32))], [], [], 0
+    while stack:
+        own, asked = stack.pop()
         if not len(own) or not len(asked):
-            return
-        d = None
+            continue
         if len(own) > _LEAF:
             vantage = points[own[len(own) // 2]]
-            d = _far(points[own], vantage)
+            d = _far(points[own], vantage).astype(np.int8)
             m = np.partition(d, (len(d) - 1) // 2)[(len(d) - 1) // 2]
-            if (d <= m).all():
-                d = None
-        if d is None:
-            for k in range(0, len(asked), 1 << 14):
-                some = asked[k : k + (1 << 14)]
-                i, j = np.nonzero(_far(points[own][:, None], queries[some][None, :]) <= slack)
-                left.append(own[i])
-                right.append(some[j])
-            return
-        q = _far(queries[asked], vantage).astype(np.int64)
-        search(own[d <= m], asked[q - slack <= m])
-        search(own[d > m], asked[q + slack > m])
-
-    search(np.arange(len(points)), np.arange(len(queries)))
-    none = np.zeros(0, np.int64)
-    return (np.concatenate(left), np.concatenate(right)) if left else (none, none)
-
-
-def _shard_pairs(hv: np.ndarray, qv: np.ndarray):
-    """Chunks of (home, query) indexes whose 16-bit values are at distance <= NEAR."""
-    ho, qo = np.argsort(hv, kind="stable"), np.argsort(qv, kind="stable")
-    hu, hs, hc = np.unique(hv[ho], return_index=True, return_counts=True)
-    qu, qs, qc = np.unique(qv[qo], return_index=True, return_counts=True)
-    p, q = near_values(hu, qu)
-    many = hc[p] * qc[q]
-    ends = np.cumsum(many)
-    lo = 0
-    while lo < len(p):
-        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + (1 << 19), "right")))
-        n = many[lo:hi]
-        which = np.repeat(np.arange(lo, hi), n)
-        k = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        yield ho[hs[p[which]] + k // qc[q[which]]], qo[qs[q[which]] + k % qc[q[which]]]
-        lo = hi
+            near = d <= m
+            if not near.all():
+                q = _far(queries[asked], vantage).astype(np.int8)
+                stack.append((own[near], asked[q - slack <= m]))
+                stack.append((own[~near], asked[q + slack > m]))
+                continue
+        for k in range(0, len(asked), 1 << 14):
+            some = asked[k : k + (1 << 14)]
+            i, j = np.nonzero(_far(points[own][:, None], queries[some][None, :]) <= slack)
+            left.append(own[i])
+            right.append(some[j])
+            held += len(i)
+            if held > 1 << 17:
+                yield np.concatenate(left), np.concatenate(right)
+                left, right, held = [], [], 0
+    if held:
+        yield np.concatenate(left), np.concatenate(right)
+
+
+def _shard_pairs(home: np.ndarray, asks: np.ndarray, segment: int):
+    """Chunks of (home, ask) indexes that agree to within NEAR bits in the segment and within PAIR_NEAR in it and its sibling.
+
+    Segments are siblings in twos: of two fingerprints at most RADIUS apart,
+    some two siblings together differ in at most PAIR_NEAR bits, and one of
+    them in at most half of that. ``home`` and ``asks`` come sorted by the
+    segment's value; only home values not above the ask's are given, as the
+    pair meets again in the other one's shard.
+    """
+    hv, qv = np.ascontiguousarray(home[:, segment]), np.ascontiguousarray(asks[:, segment])
+    hs, qs = np.ascontiguousarray(home[:, segment ^ 1]), np.ascontiguousarray(asks[:, segment ^ 1])
+    hu, hat, hc = np.unique(hv, return_index=True, return_counts=True)
+    qu, qat, qc = np.unique(qv, return_index=True, return_counts=True)
+    hat, qat = hat.astype(np.int32), qat.astype(np.int32)
+    for p, q in near_values(hu, qu):
+        ok = hu[p] <= qu[q]
+        p, q = p[ok], q[ok]
+        spare = (PAIR_NEAR - _far(hu[p], qu[q])).astype(np.uint8)
+        ends = np.cumsum(hc[p] * qc[q])
+        lo = 0
+        while lo < len(p):
+            hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + (1 << 18), "right")))
+            pp, qq = p[lo:hi], q[lo:hi]
+            n = hc[pp]
+            i = np.repeat(hat[pp] - np.r_[0, np.cumsum(n)[:-1]].astype(np.int32), n) + np.arange(n.sum(), dtype=np.int32)
+            which = np.repeat(np.arange(len(pp), dtype=np.int32), n)
+            n = qc[qq][which]
+            j = np.repeat(qat[qq][which] - np.r_[0, np.cumsum(n)[:-1]].astype(np.int32), n) + np.arange(n.sum(), dtype=np.int32)
+            i, left = np.repeat(i, n), np.repeat(spare[lo:hi][which], n)
+            ok = np.flatnonzero(_far(hs[i], qs[j]) <= left)
+            if len(ok):
+                yield i[ok], j[ok]
+            lo = hi
 
 
 def _verified(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -252,28 +272,81 @@ def pairs(prints: DataFrame, rows: int, cell_rows: int = CELL_ROWS, forest: bool
     sent_schema = pa.schema([("shard", pa.int64()), ("home", pa.bool_()), ("fid", pa.int64()), ("fp", pa.binary())])
     sent = prints.select("fid", "fp").mapInArrow(common.batches(send, sent_schema), "shard long, home boolean, fid long, fp binary")
 
-    def find(t: pa.Table) -> pa.Table:
-        segment = t["shard"][0].as_py() // cells
-        fid, fps, home = t["fid"].to_numpy(), _matrix(t["fp"]), np.flatnonzero(t["home"].to_numpy())
-        value = np.ascontiguousarray(segments(fps)[:, segment])
-        label, got = np.arange(len(fid)), []
-        for i, j in _shard_pairs(value[home], value):
-            i = home[i]
-            ok = fid[i] < fid[j]
-            if forest:
-                ok &= label[i] != label[j]
-            i, j, d = _verified(fps, fps, i[ok], j[ok])
+    def find(it):
+        """Shards come one after another, each with its home rows first; queries are streamed against them."""
+        shard, home, asks, label = None, None, [], None
+
+        def flush():
+            nonlocal asks, label
+            if not asks:
+                return
+            fid, fps = np.concatenate([f for f, _ in asks]), np.concatenate([f for _, f in asks])
+            asks = []
+            segment = shard // cells
+            o = np.argsort(segments(fps)[:, segment], kind="stable")
+            fid, fps = fid[o], fps[o]
+            got, done = [], np.full(len(fid), -1, np.int64)
+            for i, j in _shard_pairs(segments(home[1]), segments(fps), segment):
+                i, j = i.astype(np.int64), j.astype(np.int64)
+                ok = home[0][i] != fid[j]
+                if forest:
+                    ok &= (done[j] < 0) | (label[np.maximum(done[j], 0)] != label[i])
+                i, j, d = _verified(home[1], fps, i[ok], j[ok])
+                if forest:
+                    # The first partner of each query is its link; others are merged with that one.
+                    fresh = np.flatnonzero(done[j] < 0)
+                    _, one = np.unique(j[fresh], return_index=True)
+                    fresh = fresh[one]
+                    done[j[fresh]] = i[fresh]
+                    label = _join(label, i, done[j])
+                    i, j, d = i[fresh], j[fresh], d[fresh]
+                got.append((home[0][i], fid[j], d))
+            for a, b, d in got:
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(d, pa.int32())], ["a", "b", "distance"])
+
+        def finish():
+            nonlocal home
+            if home is None:
+                return
+            settle()
+            yield from flush()
             if forest:
-                label = _join(label, i, j)
-            elif len(i):
-                got.append((fid[i], fid[j], d))
-        if forest:
-            i = np.flatnonzero(label != np.arange(len(label)))
-            got = [(np.minimum(fid[i], fid[label[i]]), np.maximum(fid[i], fid[label[i]]), np.zeros(len(i), np.int64))]
-        a, b, d = (np.concatenate(x) for x in zip(*got)) if got else (np.zeros(0, np.int64),) * 3
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "distance": pa.array(d, pa.int32())})
-
-    return sent.groupBy("shard").applyInArrow(find, _PAIRS).distinct()
+                i = np.flatnonzero(label != np.arange(len(label)))
+                a, b = home[0][i], home[0][label[i]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(np.zeros(len(i), np.int32))], ["a", "b", "distance"])
+
+        def settle():
+            """Close the list of home rows."""
+            nonlocal home, label
+            if isinstance(home, list):
+                fid, fps = np.concatenate([f for f, _ in home]), np.concatenate([f for _, f in home])
+                o = np.argsort(segments(fps)[:, shard // cells], kind="stable")
+                home, label = (fid[o], fps[o]), np.arange(len(fid))
+
+        for batch in it:
+            number, live = batch.column("shard").to_numpy(), batch.column("home").to_numpy(zero_copy_only=False)
+            fid, fps = batch.column("fid").to_numpy(), _matrix(batch.column("fp"))
+            cut = np.r_[np.flatnonzero(np.r_[True, number[1:] != number[:-1]]), len(number)]
+            for a, b in zip(cut, cut[1:]):
+                if number[a] != shard:
+                    yield from finish()
+                    shard, home, asks = int(number[a]), [], []
+                n = a + int(live[a:b].sum())
+                if isinstance(home, list) and n > a:
+                    home.append((fid[a:n], fps[a:n]))
+                asks.append((fid[a:b], fps[a:b]))
+                if n < b:
+                    if home:
+                        settle()
+                    if not isinstance(home, list) and sum(len(f) for f, _ in asks) >= _ASKS:
+                        yield from flush()
+                if isinstance(home, list) and not home:
+                    asks = []  # nothing lives in this shard
+        if home is not None and not (isinstance(home, list) and not home):
+            yield from finish()
+
+    spread = sent.repartition(SEGMENTS * cells, "shard").sortWithinPartitions("shard", F.desc("home"))
+    return spread.mapInArrow(find, _PAIRS).distinct()
 
 
 def _groups(docs: DataFrame, cell_rows: int) -> tuple[DataFrame, DataFrame]:
