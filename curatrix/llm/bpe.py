@@ -76,7 +76,8 @@ def _chunk_rows(chunk: int, overlap: int, pattern: str):
         for batch in it:
             heads, tails = [], []
             for start, text, last in zip(batch.column("start").to_pylist(), batch.column("piece").to_pylist(), batch.column("last").to_pylist()):
-                ends = np.array(pretokens(text, pattern), np.int64)
+                # A piece must end as the text goes on; white space at its end would be split otherwise.
+                ends = np.array([e for e in pretokens(text, pattern) if not text[e - 1].isspace()], np.int64)
                 sure = ends[ends <= len(text) - MARGIN] if not last else ends
                 heads.append((start + sure[sure <= overlap]).tolist() if start else [])
                 tails.append((start + sure[sure > len(text) - overlap]).tolist() if not last else [])
