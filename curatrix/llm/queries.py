@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, langid, licenses, linededup, packing, simhash, suffix
+from . import bitslice, bpe, chat, kmtree, langid, licenses, linededup, packing, simhash, suffix
 
 
 def queries() -> dict:
@@ -12,7 +12,9 @@ def queries() -> dict:
         "op3_license_scan": licenses.query,
         "op4_bpe": bpe.query,
         "op5_simhash_near_dedup": simhash.query,
+        "op6_exact_topk": bitslice.query,
         "op7_line_dedup": linededup.query,
+        "op8_ann_kmeans_tree": kmtree.query,
         "op9_suffix_array_dedup": suffix.query,
         "op10_chat_windows": chat.query,
     }
@@ -22,6 +24,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op2_packing": packing.ORACLE,
         "op3_license_scan": licenses.ORACLE,
+        "op6_exact_topk": bitslice.ORACLE,
         "op7_line_dedup": linededup.ORACLE,
         "op9_suffix_array_dedup": suffix.ORACLE,
     }
