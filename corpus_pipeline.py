@@ -1,10 +1,17 @@
-"""The corpus pipeline: each stage works on all that the stage before it kept."""
+"""The corpus pipeline: each stage works on all that the stage before it kept.
+
+Documents whose language is not recognised go; repeated lines go; of near
+copies one document stays; passages that repeat across documents go but for
+their first occurrence; what is left is packed into length buckets. Every
+stage but the last returns documents with the columns it was given; ``n_chars``
+follows the text.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from curatrix.llm import common, langid
+from curatrix.llm import common, langid, linededup, packing, simhash, suffix
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -12,8 +19,29 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return langid.keep_known(docs)
 
 
-STAGES = [("language_id", language_id)]
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without lines that repeat earlier ones; those with nothing left go."""
+    return linededup.keep_lines(docs)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies."""
+    return simhash.keep_first(docs)
+
+
+def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without passages of 50 words that occur earlier; those with nothing left go."""
+    return suffix.remove_repeats(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document's length bucket, batch and place."""
+    return packing.pack(docs)
+
+
+STAGES = [("language_id", language_id), ("line_dedup", line_dedup), ("simhash_near_dedup", near_dedup), ("suffix_array_dedup", suffix_dedup), ("packing", pack)]
 
+#: SQL cannot express the fitted language model nor the fingerprints; the stages are tested one by one against brute force.
 ORACLE_SQL = None
 
 
