@@ -13,7 +13,8 @@ The join keeps to four filters, all without false negatives, then verifies:
   s - ceil(0.8 s) + 1 words;
 * **length**: sizes differ by a factor of at most 0.8;
 * **position**: the words left behind the shared one must suffice;
-* **bitmap**: 64-bit word signatures differ in no more bits than the sets may.
+* **bitmap**: word signatures (128 bits, then 512) differ in no more bits than
+  the sets may.
 
 Only distinct sets are joined, so a line with a million copies counts once.
 The sets of the candidates left are fetched, compared exactly and matched.
@@ -23,15 +24,16 @@ null, empty text stays empty. A document whose every non-blank line goes is
 left out by ``keep_lines`` and has text '' in ``clean``. Rows with equal id
 and text are one document listed more than once: they keep the same lines.
 An empty table gives an empty result. Extra columns are kept by
-``keep_lines`` and ignored otherwise. Words are told apart by 42-bit hashes,
-sets by 64-bit ones.
+``keep_lines`` and ignored otherwise. Words are told apart by 42-bit hashes
+(40 bits where two sets are compared), sets by 64-bit ones.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -47,9 +49,9 @@ def _least(size: np.ndarray) -> np.ndarray:
     return (4 * size + 4) // 5
 
 
-def _needed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Least overlap of sets of sizes a and b with Jaccard >= 4/5: ceil(4 (a + b) / 9)."""
-    return (4 * (a + b) + 8) // 9
+def _needed(total: np.ndarray) -> np.ndarray:
+    """Least overlap of two sets with so many words together and Jaccard >= 4/5: ceil(4 total / 9)."""
+    return (4 * total + 8) // 9
 
 
 def _lines(buf: np.ndarray, offs: np.ndarray):
@@ -64,7 +66,7 @@ def _lines(buf: np.ndarray, offs: np.ndarray):
         by = np.lexsort((row, at))
         at, row = at[by], row[by]
         starts, ends, _ = words(b, o, SPACED)
-        line = np.searchsorted(at, starts, "right") - 1
+        line = np.repeat(np.arange(len(at)), np.diff(np.r_[np.searchsorted(starts, at), len(starts)]))
         h = hashes(b, starts, ends) >> np.uint64(22)
         for first in range(0, len(at), 1 << 16):
             a, z = np.searchsorted(line, (first, first + (1 << 16)))
@@ -97,23 +99,30 @@ def _numbers(row: np.ndarray, first: int, count: int) -> np.ndarray:
     return (np.arange(len(row)) - start)[first : first + count]
 
 
-def frequencies(texts: DataFrame) -> np.ndarray:
+def _survey(it):
+    """Every line's set and place, and the task's word counts by bucket, in one pass."""
+    total, id_type = np.zeros(1 << FREQ_BITS, np.int32), pa.int64()
+    for batch in it:
+        id_type = batch.column("doc").type
+        buf, offs = column(pc.utf8_lower(batch.column("text")))
+        doc, key = batch.column("doc"), batch.column("key")
+        for lo, base, at, row, line, h in _lines(buf, offs):
+            bucket = np.sort(h & np.uint64((1 << FREQ_BITS) - 1)).astype(np.int64)
+            if len(bucket):
+                new = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
+                total[bucket[new]] += np.diff(np.r_[new, len(bucket)]).astype(np.int32)
+            lines, _, name = _names(*_sets(line, h))
+            n, take = len(lines), pa.array(lo + row[base + lines])
+            number = _numbers(row, base, len(at))[lines].astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)), doc.take(take), key.take(take), pa.array(number), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], ["s", "doc", "key", "line", "block", "counts"])
+    n = (1 << FREQ_BITS) // _FREQ_BLOCK
+    blobs = pa.array([total[i * _FREQ_BLOCK : (i + 1) * _FREQ_BLOCK].tobytes() for i in range(n)], pa.binary())
+    yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.nulls(n, id_type), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), pa.array(np.arange(n, dtype=np.int32)), blobs], ["s", "doc", "key", "line", "block", "counts"])
+
+
+def frequencies(surveyed: DataFrame) -> np.ndarray:
     """log2 of the corpus count of each word bucket, in half steps (uint8, 2**FREQ_BITS of them)."""
 
-    def run(it):
-        total = np.zeros(1 << FREQ_BITS, np.int32)
-        for batch in it:
-            buf, offs = column(batch.column(0))
-            for lo, hi in slices(offs):
-                b, o = buf[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo]
-                starts, ends, _ = words(b, o, SPACED)
-                bucket = np.sort((hashes(b, starts, ends) >> np.uint64(22)) & np.uint64((1 << FREQ_BITS) - 1)).astype(np.int64)
-                if len(bucket):
-                    at = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
-                    total[bucket[at]] += np.diff(np.r_[at, len(bucket)]).astype(np.int32)
-        n = (1 << FREQ_BITS) // _FREQ_BLOCK
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(n, dtype=np.int32)), pa.array([total[i * _FREQ_BLOCK : (i + 1) * _FREQ_BLOCK].tobytes() for i in range(n)], pa.binary())], ["block", "counts"])
-
     def add(t: pa.Table) -> pa.Table:
         total = np.zeros(_FREQ_BLOCK, np.int64)
         for v in t["counts"]:
@@ -122,174 +131,285 @@ def frequencies(texts: DataFrame) -> np.ndarray:
         return pa.table({"block": pa.array([t["block"][0].as_py()], pa.int32()), "level": pa.array([level.tobytes()], pa.binary())})
 
     out = np.zeros(1 << FREQ_BITS, np.uint8)
-    for r in texts.mapInArrow(run, "block int, counts binary").groupBy("block").applyInArrow(add, "block int, level binary").collect():
+    for r in surveyed.filter("block is not null").select("block", "counts").groupBy("block").applyInArrow(add, "block int, level binary").collect():
         out[r["block"] * _FREQ_BLOCK : (r["block"] + 1) * _FREQ_BLOCK] = np.frombuffer(r["level"], np.uint8)
     return out
 
 
-_ENTRY = np.dtype([("set", "u8"), ("sign", "u8"), ("word", "u4"), ("size", "u2"), ("pos", "u2")])
-_WIDE = np.dtype([("set", "u8"), ("sign", "u8"), ("word", "u4"), ("size", "u4"), ("pos", "u4")])
+_ENTRY = np.dtype([("set", "u8"), ("sign", "u8"), ("more", "u8"), ("word", "u4"), ("size", "u2"), ("pos", "u2")])
+_WIDE = np.dtype([("set", "u8"), ("sign", "u8"), ("more", "u8"), ("word", "u4"), ("size", "u4"), ("pos", "u4")])
 
 
 def entries(line: np.ndarray, h: np.ndarray, level: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(full word hash, entry) for the prefix words of sets; (line, h) as of ``_sets``."""
-    lines, first, name = _names(line, h)
-    size = np.diff(np.r_[first, len(line)])
-    sign = np.bitwise_or.reduceat(np.uint64(1) << (mix64(h) >> np.uint64(58)), first) if len(first) else np.zeros(0, np.uint64)
-    # Sets of up to 3 words are similar to no set but themselves.
-    use = size > 3
-    word_use = np.repeat(use, size)
-    rank = np.repeat(np.arange(len(lines)), size)[word_use]
-    hh = h[word_use]
-    rare = level[(hh & np.uint64((1 << FREQ_BITS) - 1)).astype(np.int64)].astype(np.uint64)
+    """(full word hash, entry) for the prefix words of the lines' sets, from the lines and hashes of all words."""
+    if not len(line):
+        return np.zeros(0, np.uint64), np.zeros(0, _ENTRY)
+    rare = level[(h & np.uint64((1 << FREQ_BITS) - 1)).astype(np.int32)].astype(np.uint64)
     # line (16 bits) | rarity (6) | hash (42): one sort gives each set's words from rare to frequent
-    key = np.sort((rank.astype(np.uint64) << np.uint64(48)) | (rare << np.uint64(42)) | hh)
-    rank = (key >> np.uint64(48)).astype(np.int64)
-    begin = np.r_[0, np.cumsum(np.where(use, size, 0))[:-1]]
-    pos = np.arange(len(key)) - begin[rank]
-    keep = pos <= size[rank] - _least(size[rank])
-    rank, pos, word = rank[keep], pos[keep], key[keep] & _MASK42
-    out = np.empty(len(rank), _ENTRY if not len(size) or size.max() < 65536 else _WIDE)
-    out["set"], out["sign"], out["size"], out["pos"] = name[rank], sign[rank], size[rank], pos
+    key = np.sort((line.astype(np.uint64) << np.uint64(48)) | (rare << np.uint64(42)) | h)
+    key = key[np.r_[True, key[1:] != key[:-1]]]
+    of, h = (key >> np.uint64(48)).astype(np.int32), key & _MASK42
+    _, first, name = _names(of, h)
+    size = np.diff(np.r_[first, len(of)])
+    mixed = mix64(h)
+    bit, second = np.uint64(1) << (mixed >> np.uint64(58)), (mixed & np.uint64(1)).astype(bool)
+    sign = np.bitwise_or.reduceat(np.where(second, np.uint64(0), bit), first)
+    more = np.bitwise_or.reduceat(np.where(second, bit, np.uint64(0)), first)
+    # Sets of up to 3 words are similar to no set but themselves.
+    count = np.where(size > 3, size - _least(size) + 1, 0)
+    rank = np.repeat(np.arange(len(size)), count)
+    pos = np.arange(len(rank)) - np.repeat(np.r_[0, np.cumsum(count)[:-1]], count)
+    word = h[first[rank] + pos]
+    out = np.empty(len(rank), _ENTRY if size.max() < 65536 else _WIDE)
+    out["set"], out["sign"], out["more"], out["size"], out["pos"] = name[rank], sign[rank], more[rank], size[rank], pos
     out["word"] = (word >> np.uint64(10)) & np.uint64(0xFFFFFFFF)
     return word, out
 
 
 def candidates(e: np.ndarray):
-    """Chunks of set-name pairs (a, b), a < b, that pass all filters, from the entries of some words."""
-    size, pos = e["size"].astype(np.int64), e["pos"].astype(np.int64)
-    o = np.lexsort((e["set"], size, e["word"]))
-    e, size, pos = e[o], size[o], pos[o]
-    if len(e):
-        new = np.r_[True, (e["word"][1:] != e["word"][:-1]) | (e["set"][1:] != e["set"][:-1])]
-        e, size, pos = e[new], size[new], pos[new]
-    word = np.cumsum(np.r_[False, e["word"][1:] != e["word"][:-1]]) if len(e) else np.zeros(0, np.int64)
-    by = word * (1 << 33) + size
-    many = np.searchsorted(by, word * (1 << 33) + size * 5 // 4, "right") - np.arange(len(e)) - 1
+    """Chunks of set-name pairs and their signatures' difference (a, b, gap), a < b, that pass all filters, from the entries of some words."""
+    size = e["size"].astype(np.int64)
+    # The last bits put equal sets side by side; those that collide there are told apart below.
+    wide = size.max(initial=0) >= 65536
+    o = np.lexsort((e["set"], size, e["word"])) if wide else np.argsort((e["word"].astype(np.uint64) << np.uint64(32)) | (size.astype(np.uint64) << np.uint64(16)) | (e["set"] & np.uint64(0xFFFF)))
+    word, name, sign, more, size, pos = e["word"][o], e["set"][o], e["sign"][o], e["more"][o], size[o].astype(np.int32), e["pos"][o].astype(np.int32)
+    if len(o):
+        new = np.r_[True, (word[1:] != word[:-1]) | (name[1:] != name[:-1])]
+        word, name, sign, more, size, pos = word[new], name[new], sign[new], more[new], size[new], pos[new]
+    group = np.cumsum(np.r_[False, word[1:] != word[:-1]]) if len(word) else np.zeros(0, np.int64)
+    by = group * (1 << 33) + size
+    # Length filter, and the position filter as far as it depends on the smaller set: 4 (a + b) / 9 <= a - pos.
+    most = np.minimum(size.astype(np.int64) * 5 // 4, 9 * (size.astype(np.int64) - pos) // 4 - size)
+    many = np.maximum(np.searchsorted(by, group * (1 << 33) + most, "right") - np.arange(len(by)) - 1, 0)
+    left = size - pos
     ends = np.cumsum(many)
     lo = 0
-    while lo < len(e):
-        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + (1 << 20), "right")))
+    while lo < len(by):
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + (1 << 18), "right")))
         n = many[lo:hi]
-        i = np.repeat(np.arange(lo, hi), n)
-        j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n)
-        need = _needed(size[i], size[j])
-        ok = 1 + np.minimum(size[i] - pos[i], size[j] - pos[j]) - 1 >= need
-        i, j, need = i[ok], j[ok], need[ok]
-        ok = np.bitwise_count(e["sign"][i] ^ e["sign"][j]) <= size[i] + size[j] - 2 * need
-        a, b = e["set"][i[ok]], e["set"][j[ok]]
-        if len(a):
-            yield np.minimum(a, b), np.maximum(a, b)
+        i = np.repeat(np.arange(lo, hi, dtype=np.int32), n)
+        j = np.arange(len(i), dtype=np.int32) + np.repeat((np.arange(lo, hi) + 1 - np.r_[0, np.cumsum(n)[:-1]]).astype(np.int32), n)
         lo = hi
-
-
-def _pair_rows(a: list, b: list) -> pa.RecordBatch:
-    x, y = (np.concatenate(v) if v else np.zeros(0, np.uint64) for v in (a, b))
-    o = np.lexsort((y, x))
-    x, y = x[o], y[o]
-    if len(x):
-        new = np.r_[True, (x[1:] != x[:-1]) | (y[1:] != y[:-1])]
-        x, y = x[new], y[new]
-    return pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)), pa.array(y.view(np.int64))], ["a", "b"])
-
-
-def _join(it):
-    """Candidate pairs of a partition's words."""
-    got = []
-    for batch in it:
-        for blob, wide in zip(batch.column("entries"), batch.column("wide")):
-            e = np.frombuffer(blob.as_py(), _WIDE if wide.as_py() else _ENTRY)
-            got.append(e)
-    if any(e.dtype == _WIDE for e in got):
-        got = [e.astype(_WIDE) for e in got]
-    if not got:
+        total = size[i] + size[j]
+        ok = 9 * left[j] >= 4 * total
+        i, j, total = i[ok], j[ok], total[ok]
+        spare = total - 2 * _needed(total)
+        gap = np.bitwise_count(sign[i] ^ sign[j])
+        ok = gap <= spare
+        i, j, gap, spare = i[ok], j[ok], gap[ok], spare[ok]
+        gap = gap + np.bitwise_count(more[i] ^ more[j])
+        a, b = name[i], name[j]
+        ok = (gap <= spare) & (a != b)
+        if ok.any():
+            a, b = a[ok], b[ok]
+            yield np.minimum(a, b), np.maximum(a, b), gap[ok]
+
+
+_PAIR = np.dtype([("a", "u8"), ("b", "u8"), ("gap", "u1")])
+
+
+def _unique_pairs(parts: list[np.ndarray]) -> np.ndarray:
+    x = np.concatenate(parts) if parts else np.zeros(0, _PAIR)
+    x = x[np.lexsort((x["b"], x["a"]))]
+    return x[np.r_[True, (x["a"][1:] != x["a"][:-1]) | (x["b"][1:] != x["b"][:-1])]] if len(x) else x
+
+
+_PAIR_BLOB = "part int, pairs binary"
+
+
+def _pair_rows(parts: list[np.ndarray], spread: int) -> pa.RecordBatch:
+    """Distinct pairs as one blob for each part of the first name's hash range."""
+    x = _unique_pairs(parts)
+    part = ((x["a"] >> np.uint64(32)) * np.uint64(spread) >> np.uint64(32)).astype(np.int32)  # x is sorted, so is this
+    cut = np.r_[np.flatnonzero(np.r_[True, part[1:] != part[:-1]]), len(part)] if len(part) else np.zeros(1, np.int64)
+    blobs = [x[i:j].tobytes() for i, j in zip(cut, cut[1:])]
+    return pa.RecordBatch.from_arrays([pa.array(part[cut[:-1]] if blobs else [], pa.int32()), pa.array(blobs, pa.binary())], ["part", "pairs"])
+
+
+def _gather(it):
+    """A partition's distinct pairs as rows."""
+    x = _unique_pairs([np.frombuffer(v.as_py(), _PAIR) for batch in it for v in batch.column("pairs")])
+    for lo in range(0, len(x), 1 << 16):
+        y = x[lo : lo + (1 << 16)]
+        yield pa.RecordBatch.from_arrays([pa.array(y["a"].astype(np.int64)), pa.array(y["b"].astype(np.int64)), pa.array(y["gap"].astype(np.int32))], ["a", "b", "gap"])
+
+
+def _joiner(spread: int):
+    def join(it):
+        """Candidate pairs of a partition's words."""
+        got = [np.frombuffer(blob.as_py(), _WIDE if wide.as_py() else _ENTRY) for batch in it for blob, wide in zip(batch.column("entries"), batch.column("wide"))]
+        if not got:
+            return
+        e = np.concatenate([x.astype(_WIDE) for x in got] if any(x.dtype == _WIDE for x in got) else got)
+        del got
+        parts, held = [], 0
+        for a, b, gap in candidates(e):
+            pairs = np.empty(len(a), _PAIR)
+            pairs["a"], pairs["b"], pairs["gap"] = a, b, gap
+            parts.append(pairs)
+            held += len(a)
+            if held > 1 << 20:
+                yield _pair_rows(parts, spread)
+                parts, held = [], 0
+        yield _pair_rows(parts, spread)
+
+    return join
+
+
+def _ranks(it):
+    """Places of a partition's sets with their rank: 1 is a set's first line; the rows of a repeated document share a rank."""
+    t = pa.Table.from_batches(list(it)) if (it := list(it)) else None
+    if t is None or not len(t):
         return
-    e = np.concatenate(got)
-    del got
-    a, b, held = [], [], 0
-    for x, y in candidates(e):
-        a.append(x)
-        b.append(y)
-        held += len(x)
-        if held > 1 << 20:
-            yield _pair_rows(a, b)
-            a, b, held = [], [], 0
-    yield _pair_rows(a, b)
+    doc = t["doc"].combine_chunks()
+    valid = doc.is_valid().to_numpy(zero_copy_only=False)
+    s, key, line = (t[c].to_numpy() for c in ("s", "key", "line"))
+    ids = pc.rank(doc, sort_keys="ascending", null_placement="at_start", tiebreaker="dense").to_numpy()
+    o = np.lexsort((line, key, ids, s))
+    s2, same = s[o], np.zeros(len(o), bool)
+    same[1:] = (s2[1:] == s2[:-1]) & (ids[o][1:] == ids[o][:-1]) & (key[o][1:] == key[o][:-1]) & (line[o][1:] == line[o][:-1])
+    lead = np.r_[True, s2[1:] != s2[:-1]]
+    step = np.cumsum(~same)
+    rank = step - step[np.flatnonzero(lead)[np.cumsum(lead) - 1]] + 1
+    for lo in range(0, len(o), 1 << 16):
+        at = pa.array(o[lo : lo + (1 << 16)])
+        yield pa.RecordBatch.from_arrays([pa.array(s).take(at), doc.take(at), pa.array(key).take(at), pa.array(line).take(at), pa.array(rank[lo : lo + (1 << 16)].astype(np.int32))], ["s", "doc", "key", "line", "rank"])
 
 
 def removals(docs: DataFrame) -> DataFrame:
     """(key, lines): the numbers of the lines that go, per document key."""
     spark = common.tune(docs.sparkSession)
-    texts = docs.filter("text is not null").select(F.col("doc_id").alias("doc"), common.row_key().alias("key"), F.lower("text").alias("text"))
-    level = spark.sparkContext.broadcast(frequencies(texts.select("text")))
-    shards = max(12, 2 * common.parts(spark))
+    texts = docs.filter("text is not null").select(F.col("doc_id").alias("doc"), common.row_key().alias("key"), "text")
+    id_type = docs.schema["doc_id"].dataType.simpleString()
+    surveyed = common.written(texts.mapInArrow(_survey, f"s long, doc {id_type}, key long, line int, block int, counts binary"))
+    level = spark.sparkContext.broadcast(frequencies(surveyed))
+    shards = max(12, common.parts(spark))
 
     def index(it):
         for batch in it:
-            buf, offs = column(batch.column(0))
+            buf, offs = column(pc.utf8_lower(batch.column(0)))
             for _, _, _, _, line, h in _lines(buf, offs):
-                word, e = entries(*_sets(line, h), level.value)
+                word, e = entries(line, h, level.value)
                 shard = (mix64(word) >> np.uint64(32)).astype(np.int64) % shards
-                o = np.argsort(shard, kind="stable")
+                o = np.argsort(shard.astype(np.int32), kind="stable")
                 shard, e = shard[o], e[o]
                 cut = np.r_[np.flatnonzero(np.r_[True, shard[1:] != shard[:-1]]), len(o)] if len(o) else np.zeros(1, np.int64)
                 n = len(cut) - 1
                 yield pa.RecordBatch.from_arrays([pa.array(shard[cut[:-1]].astype(np.int32) if n else [], pa.int32()), pa.array([e.dtype == _WIDE] * n, pa.bool_()), pa.array([e[a:b].tobytes() for a, b in zip(cut, cut[1:])], pa.binary())], ["shard", "wide", "entries"])
 
-    index_rows = texts.select("text").mapInArrow(index, "shard int, wide boolean, entries binary")
-    found = common.written(index_rows.repartition(shards, "shard").mapInArrow(_join, "a long, b long").distinct())
-    n = found.count()
+    found = common.written(_candidate_pairs(texts, index, shards))
+    common.release(spark)
+    places = surveyed.filter("s is not null").select("s", "doc", "key", "line").repartition(shards, "s")
+    placed = common.written(places.mapInArrow(_ranks, f"s long, doc {id_type}, key long, line int, rank int"))
+    common.release(spark)
+    confirmed = _confirmed(texts, found, placed)
+    again = placed.filter("rank > 1").select("key", "line")
+    gone = again.union(placed.filter("rank = 1").join(confirmed, "s", "left_semi").select("key", "line"))
+    return gone.groupBy("key").agg(F.sort_array(F.collect_set("line")).alias("lines"))
+
+
+def _candidate_pairs(texts: DataFrame, index, shards: int) -> DataFrame:
+    """(a, b, gap): the distinct candidate pairs of set names."""
+    entries_ = texts.select("text").mapInArrow(index, "shard int, wide boolean, entries binary").repartition(shards, "shard")
+    return entries_.mapInArrow(_joiner(shards), _PAIR_BLOB).repartition(shards, "part").mapInArrow(_gather, "a long, b long, gap int")
+
+
+def _confirmed(texts: DataFrame, found: DataFrame, placed: DataFrame) -> DataFrame:
+    """(s): the sets that are similar to one with an earlier first line.
+
+    A set needs one such partner, so the earlier candidate of closest signature
+    is compared first, and only the sets that this doesn't settle have all
+    their other candidates compared, after a filter by longer signatures.
+    """
     some = found.select(F.col("a").alias("s")).union(found.select(F.col("b").alias("s"))).distinct()
-    wanted = spark.sparkContext.broadcast(common.bitmap(some, "s", 2 * n)) if n else None
+    heads = common.written(placed.filter("rank = 1").join(some, "s", "left_semi").select("s", "doc", "key", "line").dropDuplicates(["s"]))
+    both = found.join(heads.toDF("a", "da", "ka", "la"), "a").join(heads.toDF("b", "db", "kb", "lb"), "b")
+    at = lambda x: F.struct(F.col(f"d{x}").isNotNull(), f"d{x}", f"k{x}", f"l{x}")
+    swap = at("a") < at("b")
+    ask = both.select(F.when(swap, F.col("b")).otherwise(F.col("a")).alias("s"), F.when(swap, F.col("a")).otherwise(F.col("b")).alias("t"), "gap")
+    order = Window.partitionBy("s").orderBy("gap", "t")
+    ask = common.written(ask.withColumn("first", F.row_number().over(order) == 1).select("s", "t", "first"))
+    common.release(texts.sparkSession)
+    sets = common.written(_sets_of(texts, heads))
+    common.release(texts.sparkSession)
+    settled = common.written(_compare(ask.filter("first").select("s", "t"), sets).filter("same").select("s"))
+    others = ask.filter("not first").join(common.side(settled), "s", "left_anti").select("s", "t")
+    close = common.written(_close(others, sets))
+    return settled.union(_compare(close, sets).filter("same").select("s")).distinct()
+
+
+def _only(sets: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The rows of ``sets`` that ``pairs`` (s, t) name."""
+    return sets.join(common.side(common.written(pairs.select("s").union(pairs.select("t")).distinct())), "s", "left_semi")
+
+
+def _close(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs whose long signatures allow a Jaccard similarity >= 4/5."""
+    signs = _only(sets, pairs).select("s", F.expr(f"length(set) div {_WORD_BYTES}").alias("n"), "w")
+    apart = sum((F.bit_count(F.col("w")[i].bitwiseXOR(F.col("v")[i])) for i in range(_SIGN_WORDS)), F.lit(0))
+    both = pairs.join(signs, "s").join(signs.toDF("t", "m", "v"), "t")
+    return both.filter(apart <= F.expr("n + m - 2 * ((4 * (n + m) + 8) div 9)")).select("s", "t")
+
+
+_SIGN_WORDS = 8
+#: Bytes of a word's hash in a set that is sent for comparison.
+_WORD_BYTES = 5
+
+
+def _long_sign(h: np.ndarray) -> np.ndarray:
+    """512-bit signature of a set's words, as 64-bit integers."""
+    bits = np.zeros(64 * _SIGN_WORDS, np.uint8)
+    bits[(mix64(h) >> np.uint64(64 - 9)).astype(np.int64)] = 1
+    return np.packbits(bits).view(np.int64)
+
+
+def _sets_of(texts: DataFrame, heads: DataFrame) -> DataFrame:
+    """(s, set): the words of the sets in ``heads``, from the documents that have their first lines."""
+    spark = texts.sparkSession
+    wanted = spark.sparkContext.broadcast(common.bitmap(heads, "s", heads.count()))
+    holders = common.written(heads.select(F.col("key")).distinct())
 
     def fetch(it):
         for batch in it:
-            buf, offs = column(batch.column(0))
+            buf, offs = column(pc.utf8_lower(batch.column(0)))
             for _, _, _, _, line, h in _lines(buf, offs):
                 line, h = _sets(line, h)
-                lines, first, name = _names(line, h)
-                ok = np.flatnonzero(common.in_bitmap(wanted.value, name))
+                _, first, name = _names(line, h)
+                ok = np.flatnonzero(common.in_bitmap(wanted.value, name)) if len(name) else first
                 stop = np.r_[first[1:], len(line)]
                 _, one = np.unique(name[ok], return_index=True)
                 ok = ok[one]
-                yield pa.RecordBatch.from_arrays([pa.array(name[ok].view(np.int64)), pa.array([h[first[k] : stop[k]].tobytes() for k in ok], pa.binary())], ["s", "set"])
+                got = [h[first[k] : stop[k]] for k in ok]
+                signs = [_long_sign(g).tolist() for g in got]
+                yield pa.RecordBatch.from_arrays([pa.array(name[ok].view(np.int64)), pa.array([_packed(g) for g in got], pa.binary()), pa.array(signs, pa.list_(pa.int64()))], ["s", "set", "w"])
 
-    def places(it):
-        for batch in it:
-            buf, offs = column(batch.column("text"))
-            doc, key = batch.column("doc"), batch.column("key")
-            for lo, base, at, row, line, h in _lines(buf, offs):
-                lines, _, name = _names(*_sets(line, h))
-                number = _numbers(row, base, len(at))[lines]
-                take = pa.array(lo + row[base + lines])
-                yield pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)), doc.take(take), key.take(take), pa.array(number.astype(np.int32))], ["s", "doc", "key", "line"])
-
-    placed = texts.mapInArrow(places, f"s long, doc {docs.schema['doc_id'].dataType.simpleString()}, key long, line int")
-    if n:
-        sets = texts.select("text").mapInArrow(fetch, "s long, set binary").groupBy("s").agg(F.first("set").alias("set"))
-        left = sets.select(F.col("s").alias("a"), F.col("set").alias("x"))
-        right = sets.select(F.col("s").alias("b"), F.col("set").alias("y"))
-        similar = found.join(left, "a").join(right, "b").filter(F.arrow_udf(_similar, "boolean")("x", "y")).select("a", "b")
-        similar = common.written(similar)
-    else:
-        similar = found
-    either = similar.union(similar.select("b", "a"))
-    placed = common.written(placed)
-    head = F.struct(F.col("doc").isNotNull().alias("known"), "doc", "key", "line")
-    firsts = placed.groupBy("s").agg(F.min(head).alias("head"), F.count("*").alias("n"))
-    # Only sets with copies or similar sets can lose a line.
-    near = either.toDF("s", "t").join(firsts.select(F.col("s").alias("t"), F.col("head").alias("other")), "t").groupBy("s").agg(F.min("other").alias("other"))
-    limit = firsts.join(near, "s", "left").filter("n > 1 or other < head").select(F.col("s").alias("u"), F.least("head", F.coalesce("other", "head")).alias("limit"))
-    gone = placed.join(limit, F.col("s") == F.col("u")).filter(head > F.col("limit"))
-    return gone.groupBy("key").agg(F.sort_array(F.collect_set("line")).alias("lines"))
+    kept = texts.join(common.side(holders), "key", "left_semi").select("text")
+    return kept.mapInArrow(fetch, "s long, set binary, w array<long>").dropDuplicates(["s"])
+
+
+def _packed(h: np.ndarray) -> bytes:
+    return np.ascontiguousarray(h).view(np.uint8).reshape(-1, 8)[:, :_WORD_BYTES].tobytes()
+
+
+def _unpacked(raw: bytes) -> np.ndarray:
+    out = np.zeros((len(raw) // _WORD_BYTES, 8), np.uint8)
+    out[:, :_WORD_BYTES] = np.frombuffer(raw, np.uint8).reshape(-1, _WORD_BYTES)
+    return out.view(np.uint64)[:, 0]
+
+
+def _compare(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(s, same): whether the two sets of each pair (s, t) have Jaccard similarity >= 4/5."""
+    used = _only(sets, pairs).select("s", "set")
+    return pairs.join(used.toDF("s", "x"), "s").join(used.toDF("t", "y"), "t").select("s", F.arrow_udf(_similar, "boolean")("x", "y").alias("same"))
 
 
 def _similar(x: pa.Array, y: pa.Array) -> pa.Array:
     out = np.zeros(len(x), bool)
     for k, (a, b) in enumerate(zip(x, y)):
-        a, b = np.frombuffer(a.as_py(), np.uint64), np.frombuffer(b.as_py(), np.uint64)
-        both = len(a) + len(b) - len(np.union1d(a, b))
-        out[k] = 5 * both >= 4 * (len(a) + len(b) - both)
+        a, b = _unpacked(a.as_py()), _unpacked(b.as_py())
+        both = np.sort(np.concatenate([a, b]))
+        shared = int((both[1:] == both[:-1]).sum())
+        out[k] = 5 * shared >= 4 * (len(a) + len(b) - shared)
     return pa.array(out)
 
 

@@ -16,7 +16,7 @@ import pyarrow as pa
 
 SLICE_BYTES = 1 << 20
 _LONG_WORD = 4096
-_CHUNK = 1 << 19
+_CHUNK = 1 << 15
 _P = 0x9E3779B97F4A7C15
 _PINV = pow(_P, -1, 1 << 64)
 
@@ -90,20 +90,23 @@ def hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     up, down = _tables
     out = np.empty(len(starts), np.uint64)
     size = ends - starts
-    lo = 0
-    while lo < len(starts):
+    acc = np.zeros(_CHUNK + _LONG_WORD + 1, np.uint64)
+    cuts = np.searchsorted(starts, np.arange(starts[0], starts[-1] + _CHUNK, _CHUNK)) if len(starts) else np.zeros(1, np.int64)
+    for lo, hi in zip(cuts, np.r_[cuts[1:], len(starts)]):
+        if lo == hi:
+            continue
         base = starts[lo]
-        hi = max(lo + 1, int(np.searchsorted(starts, base + _CHUNK, "left")))
-        keep = np.flatnonzero(size[lo:hi] <= _LONG_WORD)
-        if len(keep):
-            s, e = starts[lo:hi][keep] - base, ends[lo:hi][keep] - base
+        long_ = np.flatnonzero(size[lo:hi] > _LONG_WORD)
+        keep = slice(None) if not len(long_) else np.flatnonzero(size[lo:hi] <= _LONG_WORD)
+        s, e = starts[lo:hi][keep] - base, ends[lo:hi][keep] - base
+        if len(e):
             span = int(e[-1])
-            acc = np.zeros(span + 1, np.uint64)
-            part = (buf[base : base + span].astype(np.uint64) + np.uint64(1)) * down[:span]
-            np.cumsum(part, out=acc[1:])
+            part = buf[base : base + span].astype(np.uint64)
+            part += np.uint64(1)
+            part *= down[:span]
+            np.cumsum(part, out=acc[1 : span + 1])
             out[lo:hi][keep] = (acc[e] - acc[s]) * up[s]
-        for k in np.flatnonzero(size[lo:hi] > _LONG_WORD):
+        for k in long_:
             word = buf[starts[lo + k] : ends[lo + k]].tobytes()
             out[lo + k] = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
-        lo = hi
     return mix64(out + size.astype(np.uint64))
