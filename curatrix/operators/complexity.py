@@ -6,7 +6,7 @@ import random
 from itertools import combinations
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 K_FACTOR, BASE, START, MISSING = 16, 400, 1000.0, 5.0
@@ -29,6 +29,25 @@ def schedule(spark: SparkSession, n: int, batch_size: int, appearances: int) ->
     return spark.createDataFrame(batches(n, batch_size, appearances), "pass int, batch int, place int, ord long")
 
 
+def portable_schedule(rows: DataFrame, ord_col: str, batch_size: int, appearances: int) -> DataFrame:
+    """A schedule of the same shape from md5 order instead of a seeded shuffle: no list of rows on the driver.
+
+    A row's place is its place within a slice of the md5s plus the sizes of the
+    slices before, so no task sorts all rows.
+    """
+    n = rows.count()
+    passes = F.explode(F.sequence(F.lit(0), F.lit(max(1, appearances) - 1)))
+    keyed = rows.select(F.col(ord_col).alias("ord"), passes.alias("pass"))
+    keyed = keyed.withColumn("md5", F.md5(F.concat_ws(":", "pass", "ord"))).withColumn("slice", F.substring("md5", 1, 3))
+    before = Window.partitionBy("pass").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    start = keyed.groupBy("pass", "slice").count().select("pass", "slice", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("start"))
+    at = F.col("start") + F.row_number().over(Window.partitionBy("pass", "slice").orderBy("md5", "ord")) - 1
+    placed = keyed.join(F.broadcast(start), ["pass", "slice"]).withColumn("at", at)  # 4,096 slices a pass
+    last = n // batch_size - 1 if n % batch_size == 1 and n > batch_size else n // batch_size
+    out = placed.select("pass", F.least(F.floor(F.col("at") / batch_size), F.lit(last)).cast("int").alias("batch"), F.col("at").cast("int").alias("place"), "ord")
+    return out if n > 1 else out.limit(0)
+
+
 def raw_scores(scored: DataFrame) -> DataFrame:
     """(id, raw_score): mean score; a missing score counts as 5."""
     return scored.groupBy("id").agg(F.round(F.avg(F.coalesce(F.col("score").cast("double"), F.lit(MISSING))), 6).alias("raw_score"))
