@@ -20,7 +20,8 @@ def batches(n: int, batch_size: int, appearances: int) -> list[tuple[int, int, i
         rng.shuffle(order)
         cut = [order[i : i + batch_size] for i in range(0, n, batch_size)]
         if len(cut) >= 2 and len(cut[-1]) < 2:
-            cut[-2] += cut.pop()
+            single = cut.pop()
+            cut[-1] += single
         out += [(p, b, k, row) for b, rows in enumerate(cut) if len(rows) >= 2 for k, row in enumerate(rows)]
     return out
 
