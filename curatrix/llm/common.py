@@ -123,6 +123,23 @@ def in_bitmap(packed: np.ndarray, values: np.ndarray) -> np.ndarray:
     return (packed[(bit >> np.uint64(3)).astype(np.int64)] >> (np.uint8(7) - (bit & np.uint64(7)).astype(np.uint8))) & 1 == 1
 
 
+def attach(rows: DataFrame, key: str, marks: DataFrame, other: str) -> DataFrame:
+    """``rows`` left-joined with ``marks`` (a written table, one row for each 64-bit ``other``) on ``key``.
+
+    Only rows whose key may be marked are shuffled: a bitmap of at most 32 MB
+    tells them apart, and the others, texts and all, stay where they are.
+    """
+    known = rows.sparkSession.sparkContext.broadcast(bitmap(marks, other, marks.count()))
+
+    @F.arrow_udf("boolean")
+    def marked(keys: pa.Array) -> pa.Array:
+        return pa.array(in_bitmap(known.value, keys.to_numpy(zero_copy_only=False).view(np.uint64)))
+
+    hit = rows.filter(marked(F.col(key))).join(marks, F.col(key) == F.col(other), "left")
+    rest = rows.filter(~marked(F.col(key)))
+    return hit.unionByName(rest.select("*", *[F.lit(None).cast(marks.schema[c].dataType).alias(c) for c in marks.columns]))
+
+
 def batches(make: Callable[[pa.RecordBatch], Iterator[dict]], schema: pa.Schema) -> Callable:
     """A mapInArrow function of one that yields columns for a batch."""
 

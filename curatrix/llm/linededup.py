@@ -417,7 +417,7 @@ def _cleaned(docs: DataFrame) -> tuple[DataFrame, str, str]:
     """``docs`` with the array of lines that go (null where none) and the text that is left."""
     key, other, gone, left = common.fresh(docs, "key", "other_key", "gone", "left")
     marks = common.written(removals(docs).select(F.col("key").alias(other), F.col("lines").alias(gone)))
-    joined = docs.withColumn(key, common.row_key()).join(common.side(marks, 100_000), F.col(key) == F.col(other), "left")
+    joined = common.attach(docs.withColumn(key, common.row_key()), key, marks, other)
     kept = F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains(F.col(gone), i))
     return joined.withColumn(left, F.when(F.col(gone).isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))).drop(key, other), gone, left
 
