@@ -40,7 +40,7 @@ def main(argv: list[str] | None = None) -> int:
         if args.command in ("evaluate", "run"):
             rows = files.read_jsonl(spark, os.path.join(out, "final"), "attempt_index long, record string, taxonomy_mix " + sampling.MIX_DDL, tolerant=True)
             nodes = X.from_tree(spark, files.read_json(files.artifact(out, "taxonomy"), {"factors": []}))
-            clean, report = runs.evaluate(spark, rows, nodes, cfg)
+            clean, report = runs.evaluate(spark, rows, nodes, cfg, backend=backend)
             files.write_jsonl(clean.orderBy(F.col("attempt_index")), os.path.join(out, "evaluated"))
             files.write_json(files.artifact(out, "eval_report"), report)
             say(f"{report['count']} rows survive")

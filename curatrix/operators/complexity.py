@@ -70,11 +70,14 @@ def elo(rows: DataFrame, plan: DataFrame, passes: int, id_type: str = "long") ->
     """(id, elo) of rows (ord, id, score) under a schedule.
 
     Within a pass no row is in two batches, so a pass's batches are independent
-    groups; only the passes follow each other.
+    groups; only the passes follow each other. A schedule that has scores of
+    its own (a row may be judged anew in each batch) overrides the rows'.
     """
     rated = rows.select("ord", "id", F.coalesce(F.col("score").cast("double"), F.lit(MISSING)).alias("score")).withColumn("elo", F.lit(START))
+    judged = F.coalesce(F.col("judged").cast("double"), F.lit(MISSING)) if "score" in plan.columns else F.col("score")
+    plan = plan.withColumnRenamed("score", "judged")
     for p in range(passes):
-        own = rated.join(plan.filter(F.col("pass") == p).select("ord", "batch", "place"), "ord")
+        own = rated.join(plan.filter(F.col("pass") == p).drop("pass", "id"), "ord").select("batch", "place", "id", judged.alias("score"), "elo")
         after = own.groupBy("batch").applyInPandas(_fold, f"id {id_type}, elo double").withColumnRenamed("elo", "new")
         rated = rated.join(after, "id", "left").select("ord", "id", "score", F.coalesce("new", "elo").alias("elo"))
     return rated.select("id", F.round("elo", 6).alias("elo"))

@@ -274,3 +274,25 @@ def assign_nodes(rows: DataFrame, outlines: DataFrame, cfg: Config, backend: Bac
 
     pairs = rows.select(F.col("id").cast("string").alias("id"), "text").crossJoin(F.broadcast(outlines))
     return pairs.mapInPandas(run, "id string, factor string, wanted string").filter("wanted is not null")
+
+
+def score_complexity(rows: DataFrame, plan: DataFrame, cfg: Config, backend: Backend) -> DataFrame:
+    """The schedule ``plan`` (pass, batch, place, ord) with each row's id and its score in that batch; null where the critic gives none.
+
+    ``rows`` has (ord, id, text). A batch is one call, and a task holds one batch.
+    """
+    builders_path = cfg.prompts
+
+    def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("place", kind="stable")
+        payload = [{"id": str(i), "item": t} for i, t in zip(frame["id"], frame["text"])]
+        try:
+            got = _router(cfg, backend, f"complexity:{key[0]}:{key[1]}").complete_json("critic", "complexity_score", P.JSON_SYSTEM, P.load_builders(builders_path)["complexity_prompt"](cfg.description, payload))
+            scores = {str(s["id"]): float(s["score"]) for s in got.get("scores") or []}
+        except Exception:  # noqa: BLE001 - rows without a score count as middling
+            scores = {}
+        return frame.assign(score=[scores.get(str(i)) for i in frame["id"]]).astype({"score": "float64"})[["pass", "batch", "place", "ord", "id", "score"]]
+
+    joined = rows.join(plan, "ord").select("pass", "batch", "place", "ord", "id", "text")
+    kind = rows.schema["id"].dataType.simpleString()
+    return joined.groupBy("pass", "batch").applyInPandas(run, f"pass int, batch int, place int, ord long, id {kind}, score double")

@@ -103,10 +103,11 @@ def finalise(spark: SparkSession, cfg: Config, raw: DataFrame) -> DataFrame:
     return rows.join(order.select(F.col("ord").alias("attempt_index"), "rank"), "attempt_index").orderBy("rank").drop("rank")
 
 
-def evaluate(spark: SparkSession, rows: DataFrame, nodes: DataFrame, cfg: Config, embeddings: DataFrame | None = None, scores: DataFrame | None = None, assigned: DataFrame | None = None) -> tuple[DataFrame, dict[str, Any]]:
+def evaluate(spark: SparkSession, rows: DataFrame, nodes: DataFrame, cfg: Config, embeddings: DataFrame | None = None, scores: DataFrame | None = None, assigned: DataFrame | None = None, backend: Backend | None = None) -> tuple[DataFrame, dict[str, Any]]:
     """(rows that survive, report): duplicates, contamination, coverage, diversity, complexity, each measured on what is left.
 
-    ``embeddings`` (id, embedding), ``scores`` (attempt_index, score) and ``assigned`` (factor, wanted) switch their parts on.
+    ``embeddings`` (id, embedding), ``scores`` (attempt_index, score) and ``assigned`` (factor, wanted) switch their
+    parts on; with a ``backend`` the critic gives scores and assignments where the configuration asks for them.
     """
     e = cfg.evaluation
     kept, removed = similarity.dedupe(rows, "attempt_index", "record", e.ngram, str(e.threshold))
@@ -119,6 +120,9 @@ def evaluate(spark: SparkSession, rows: DataFrame, nodes: DataFrame, cfg: Config
     for part in ("dedupe", "decontamination"):
         report[part]["removed_count"] = len(report[part]["removed_ids"])
     report["coverage"] = _nested(coverage.coverage(coverage.lineage_paths(clean), nodes))
+    if assigned is None and backend is not None and e.reassignment:
+        texts = clean.select(F.col("attempt_index").alias("id"), T.record_text(F.col("record"), e.text_field).alias("text"))
+        assigned = materialise(G.assign_nodes(texts, X.outline(nodes), cfg, backend))
     if assigned is not None:
         report["reassignment_coverage"] = _nested(coverage.reassigned_coverage(assigned, nodes))
     if embeddings is not None:
@@ -126,12 +130,18 @@ def evaluate(spark: SparkSession, rows: DataFrame, nodes: DataFrame, cfg: Config
         report["diversity"] = diversity.global_diversity(u).first().asDict() | diversity.local_diversity(u, e.k_local).first().asDict()
         if report["diversity"]["count"] >= 2:
             report["diversity"] |= {"sample_cap": e.sample_cap, "k_local": e.k_local}
-    if scores is not None:
+    judge = backend is not None and e.complexity and scores is None
+    if scores is not None or judge:
         n = clean.count()
-        numbered = clean.select("attempt_index").join(scores, "attempt_index", "left").withColumn("ord", F.row_number().over(Window.orderBy("attempt_index")) - 1).select(F.col("ord").cast("long").alias("ord"), F.col("attempt_index").alias("id"), "score")
+        given = scores if scores is not None else clean.select("attempt_index", F.lit(None).cast("double").alias("score"))
+        numbered = clean.select("attempt_index", T.record_text(F.col("record"), e.text_field).alias("text")).join(given, "attempt_index", "left").withColumn("ord", F.row_number().over(Window.orderBy("attempt_index")) - 1)
+        numbered = materialise(numbered.select(F.col("ord").cast("long").alias("ord"), F.col("attempt_index").alias("id"), "text", "score"))
         plan = complexity.schedule(spark, n, e.complexity_batch_size, e.complexity_samples_per_item)
+        if judge:
+            plan = materialise(G.score_complexity(numbered, plan, cfg, backend))
         ratings = complexity.elo(numbered, plan, e.complexity_samples_per_item)
-        report["complexity"] = {"raw_scores": {r["id"]: r["raw_score"] for r in complexity.raw_scores(numbered).collect()}, "elo": {r["id"]: r["elo"] for r in ratings.collect()}}
+        raw = complexity.raw_scores(plan if judge else numbered)
+        report["complexity"] = {"raw_scores": {r["id"]: r["raw_score"] for r in raw.collect()}, "elo": {r["id"]: r["elo"] for r in ratings.collect()}}
     return clean, report
 
 

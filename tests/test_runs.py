@@ -4,7 +4,9 @@ import json
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
+from curatrix.operators import sampling
 from curatrix.operators import taxonomy as X
 from curatrix.plans import config, generation, prompts, runs
 from curatrix.plans.backend import Failed, Router, Stub, parse_json, retry_wait
@@ -130,6 +132,28 @@ def test_node_assignment(spark):
     assert generation.assign_nodes(rows, outlines, cfg("x"), Stub()).count() == 4
 
 
+def test_complexity_is_judged_by_the_critic(spark):
+    from curatrix.operators import complexity
+
+    class Critic(Stub):
+        def answer(self, role, task, system, prompt, key):
+            if task != "complexity_score":
+                return super().answer(role, task, system, prompt, key)
+            return json.dumps({"scores": [{"id": i, "score": 2 * int(i)} for i in "01234" if f'"id": "{i}"' in prompt and i != "3"]})
+
+    c = cfg("x")
+    c.evaluation.complexity = c.evaluation.reassignment = True
+    rows = spark.createDataFrame([(i, f"text number {i} stands alone") for i in range(5)], "id long, text string").withColumn("ord", F.col("id"))
+    plan = generation.score_complexity(rows, complexity.schedule(spark, 5, 2, 2), c, Critic())
+    scores = {r["id"]: r["raw_score"] for r in complexity.raw_scores(plan).collect()}
+    assert scores == {0: 0.0, 1: 2.0, 2: 4.0, 3: 5.0, 4: 8.0} and plan.count() == 10
+    table = rows.select(F.col("id").alias("attempt_index"), F.col("text").alias("record"), F.array().cast(sampling.MIX_DDL).alias("taxonomy_mix"))
+    nodes = X.from_tree(spark, {"factors": [{"name": "f", "children": [{"name": "kind1-0", "level": 1, "path": ["f", "kind1-0"]}]}]})
+    _, report = runs.evaluate(spark, table, nodes, c, backend=Critic())
+    assert report["complexity"]["raw_scores"] == scores and abs(sum(report["complexity"]["elo"].values()) - 5000) < 1e-3
+    assert "f" in report["reassignment_coverage"]
+
+
 def test_files(spark, tmp_path):
     lines = tmp_path / "lines.jsonl"
     lines.write_text('{"a": 1}\n\n{"b": 2\n{"a": 3}\n')
@@ -150,8 +174,6 @@ def test_files(spark, tmp_path):
 
 
 def test_embedding_cache_embeds_only_misses(spark, tmp_path):
-    from pyspark.sql import functions as F
-
     seen: list[int] = []
 
     def embedder(misses):
