@@ -132,7 +132,7 @@ def frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
         return pa.table({"n": pa.array([sum(t["n"].to_pylist())], pa.int64()), "df": pa.array([total.tolist()], pa.list_(pa.int64()))})
 
     total, n = np.zeros(DIMS, np.int64), 0
-    each = docs.select("text").mapInArrow(run, "part int, n long, df array<long>")
+    each = docs.select("text").mapInArrow(common.lean(run), "part int, n long, df array<long>")
     for r in each.withColumn("part", F.spark_partition_id() % 16).groupBy("part").applyInArrow(add, "n long, df array<long>").collect():
         total, n = total + np.asarray(r["df"]), n + r["n"]
     return total, n
@@ -228,6 +228,7 @@ def label(docs: DataFrame, model: Model):
             oks.append(ok)
         sim = np.concatenate(sims).astype(np.float64) if sims else np.zeros(0)
         ok = np.concatenate(oks) if oks else np.zeros(0, bool)
+        common.trim()
         return pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(np.round(sim, 4)), pa.array(ok)], fields=list(kind))
 
     return classify(F.col("text"))

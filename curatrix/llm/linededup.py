@@ -281,7 +281,7 @@ def removals(docs: DataFrame) -> DataFrame:
     spark = common.tune(docs.sparkSession)
     texts = docs.filter("text is not null").select(F.col("doc_id").alias("doc"), common.row_key().alias("key"), "text")
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    surveyed = common.written(texts.mapInArrow(_survey, f"s long, doc {id_type}, key long, line int, block int, counts binary"))
+    surveyed = common.written(texts.mapInArrow(common.lean(_survey), f"s long, doc {id_type}, key long, line int, block int, counts binary"))
     level = spark.sparkContext.broadcast(frequencies(surveyed))
     shards = max(12, common.parts(spark))
 
@@ -300,7 +300,7 @@ def removals(docs: DataFrame) -> DataFrame:
     found = common.written(_candidate_pairs(texts, index, shards))
     common.release(spark)
     places = surveyed.filter("s is not null").select("s", "doc", "key", "line").repartition(shards, "s")
-    placed = common.written(places.mapInArrow(_ranks, f"s long, doc {id_type}, key long, line int, rank int"))
+    placed = common.written(places.mapInArrow(common.lean(_ranks), f"s long, doc {id_type}, key long, line int, rank int"))
     common.release(spark)
     confirmed = _confirmed(texts, found, placed)
     again = placed.filter("rank > 1").select("key", "line")
@@ -310,8 +310,8 @@ def removals(docs: DataFrame) -> DataFrame:
 
 def _candidate_pairs(texts: DataFrame, index, shards: int) -> DataFrame:
     """(a, b, gap): the distinct candidate pairs of set names."""
-    entries_ = texts.select("text").mapInArrow(index, "shard int, wide boolean, entries binary").repartition(shards, "shard")
-    return entries_.mapInArrow(_joiner(shards), _PAIR_BLOB).repartition(shards, "part").mapInArrow(_gather, "a long, b long, gap int")
+    entries_ = texts.select("text").mapInArrow(common.lean(index), "shard int, wide boolean, entries binary").repartition(shards, "shard")
+    return entries_.mapInArrow(common.lean(_joiner(shards)), _PAIR_BLOB).repartition(shards, "part").mapInArrow(common.lean(_gather), "a long, b long, gap int")
 
 
 def _confirmed(texts: DataFrame, found: DataFrame, placed: DataFrame) -> DataFrame:
@@ -384,7 +384,7 @@ def _sets_of(texts: DataFrame, heads: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(name[ok].view(np.int64)), pa.array([_packed(g) for g in got], pa.binary()), pa.array(signs, pa.list_(pa.int64()))], ["s", "set", "w"])
 
     kept = texts.join(common.side(holders), "key", "left_semi").select("text")
-    return kept.mapInArrow(fetch, "s long, set binary, w array<long>").dropDuplicates(["s"])
+    return kept.mapInArrow(common.lean(fetch), "s long, set binary, w array<long>").dropDuplicates(["s"])
 
 
 def _packed(h: np.ndarray) -> bytes:

@@ -89,6 +89,7 @@ def fingerprints(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def _fingerprint(texts: pa.Array) -> pa.Array:
     got, has = fingerprints(texts)
+    common.trim()
     return pa.array([got[i].tobytes() if has[i] else None for i in range(len(has))], pa.binary())
 
 
@@ -346,7 +347,7 @@ def pairs(prints: DataFrame, rows: int, cell_rows: int = CELL_ROWS, forest: bool
             yield from finish()
 
     spread = sent.repartition(SEGMENTS * cells, "shard").sortWithinPartitions("shard", F.desc("home"))
-    return spread.mapInArrow(find, _PAIRS).distinct()
+    return spread.mapInArrow(common.lean(find), _PAIRS).distinct()
 
 
 def _groups(docs: DataFrame, cell_rows: int) -> tuple[DataFrame, DataFrame]:

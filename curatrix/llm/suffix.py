@@ -273,7 +273,7 @@ def spans(docs: DataFrame) -> DataFrame:
     """(known, doc, key, start, end, from_doc): words [start, end) of a document, of which passages of ``from_doc`` cover each; they may overlap."""
     spark = common.tune(docs.sparkSession)
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc"), common.row_key().alias("key"), "text").filter("text is not null")
-    anchors = keyed.select("text").mapInArrow(_anchor_rows, "anchor long, again boolean")
+    anchors = keyed.select("text").mapInArrow(common.lean(_anchor_rows), "anchor long, again boolean")
     several = common.written(anchors.groupBy("anchor").agg(F.count("*").alias("n"), F.max("again").alias("again")).filter("n > 1 or again").select("anchor"))
     known = spark.sparkContext.broadcast(common.bitmap(several, "anchor", several.count()))
     shards = max(12, 4 * common.parts(spark))
@@ -304,8 +304,8 @@ def spans(docs: DataFrame) -> DataFrame:
                     schema=_BLOCK,
                 )
 
-    sent = keyed.mapInArrow(send, "shard int, n int, heads binary, words binary")
-    return sent.repartition(shards, "shard").mapInArrow(_find, _SPAN_DDL)
+    sent = keyed.mapInArrow(common.lean(send), "shard int, n int, heads binary, words binary")
+    return sent.repartition(shards, "shard").mapInArrow(common.lean(_find), _SPAN_DDL)
 
 
 def union_spans(found: DataFrame) -> DataFrame:
@@ -338,6 +338,7 @@ def _cut(texts: pa.Array, spans_: pa.Array) -> pa.Array:
             last = starts[c["end"]] if c["end"] < len(starts) else len(raw)
         keep.append(raw[last:].tobytes())
         out.append(b"".join(keep).decode("utf-8", "replace"))
+    common.trim()
     return pa.array(out, pa.string())
 
 
