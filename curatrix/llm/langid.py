@@ -4,7 +4,8 @@ A text's vector holds the TF-IDF weights of its letter 1- to 3-grams, hashed
 into ``DIMS`` dimensions and scaled to length 1. Every language has several
 centroids, clustered from labelled rows by spherical k-means; a text gets the
 language of the centroid of largest cosine. It is rejected when it lies
-farther from every centroid than texts of its length do.
+about as far from every centroid as texts of its length in a language without
+centroids do; that distance is learnt by leaving out each language in turn.
 
 Document frequencies are counted over all documents. Only the centroids and
 distances are fitted, on a sample of labelled rows that ``per_language``
@@ -138,13 +139,17 @@ def frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
     return total, n
 
 
-def _kmeans(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
-    """Spherical k-means from farthest-first seeds: no random choice."""
-    seeds = [int((x @ x.mean(0)).argmax())]
-    near = x @ x[seeds[0]]
-    while len(seeds) < min(k, len(x)):
-        seeds.append(int(near.argmin()))
-        near = np.maximum(near, x @ x[seeds[-1]])
+def _kmeans(x: np.ndarray, k: int, spread: bool, rounds: int = 12) -> np.ndarray:
+    """Spherical k-means without random choice: from farthest-first seeds, or from rows spread evenly by closeness to the mean."""
+    mean = x @ x.mean(0)
+    if spread:
+        seeds = list(dict.fromkeys(np.argsort(mean, kind="stable")[(np.arange(k) * 2 + 1) * len(x) // (2 * k)].tolist()))
+    else:
+        seeds = [int(mean.argmax())]
+        near = x @ x[seeds[0]]
+        while len(seeds) < min(k, len(x)):
+            seeds.append(int(near.argmin()))
+            near = np.maximum(near, x @ x[seeds[-1]])
     c = x[seeds].copy()
     for _ in range(rounds):
         own = (x @ c.T).argmax(1)
@@ -155,6 +160,25 @@ def _kmeans(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     return c
 
 
+def _centroids(x: np.ndarray, k: int, least: float = 0.05) -> tuple[np.ndarray, np.ndarray]:
+    """Centroids of ``x`` that each hold at least a share ``least`` of its rows, but for the largest; the rows they hold.
+
+    A few texts of another language under a wrong label must not be a centroid
+    of their own: it would vouch for that language. Farthest-first seeds find
+    such rows; those in small clusters are left out and the rest clustered.
+    """
+    enough, rows = least * len(x), np.arange(len(x))
+    for spread in (False, False, False, True):
+        c = _kmeans(x[rows], k, spread)
+        own = (x[rows] @ c.T).argmax(1)
+        size = np.bincount(own, minlength=len(c))
+        big = (size == 0) | (size >= min(enough, size.max()))  # equal rows leave all but one of their centroids without rows
+        rows = rows[big[own]]
+        if spread:
+            return c[big], rows
+    raise AssertionError("the last round returns")
+
+
 def _spans(text: bytes, lang: int, salt: int) -> list[bytes]:
     """Pieces of 1, 2, 4 ... words from a text, to learn what distance is usual at each length."""
     w = text.split()
@@ -166,11 +190,14 @@ def _spans(text: bytes, lang: int, salt: int) -> list[bytes]:
     return out + [text]
 
 
-def fit(docs: DataFrame, per_language: int = 300, clusters: int = 4, slack: float = 0.4) -> Model:
+def fit(docs: DataFrame, per_language: int = 300, clusters: int = 4, slack: float = 0.8, margin: float = 1.5) -> Model:
     """Fit on at most about ``per_language`` labelled rows of each language.
 
-    A text of some length is rejected below ``slack`` times the similarity
-    that 99 % of the pieces of that length of the fitting texts exceed.
+    A text of some length is rejected below ``margin`` times the similarity
+    that 10 % of a language's pieces of that length exceed when its own
+    centroids are left out (of the languages, the largest), but not above
+    ``slack`` times the similarity that 99 % of all pieces of that length
+    exceed. With one language only the latter is known.
     """
     df, n = frequencies(docs)
     idf = np.log((1 + n) / (1 + df)).astype(np.float32) + np.float32(0.1)
@@ -186,25 +213,36 @@ def fit(docs: DataFrame, per_language: int = 300, clusters: int = 4, slack: floa
     sample: dict[str, list[bytes]] = {}
     for r in labelled.filter(chosen).select("lang", "text").collect():
         sample.setdefault(r["lang"], []).append(r["text"].encode())
-    low: list[list[float]] = [[] for _ in range(16)]
+    return _fitted(model, sample, clusters, slack, margin)
+
+
+def _fitted(model: Model, sample: dict[str, list[bytes]], clusters: int, slack: float, margin: float) -> Model:
+    """``model`` with centroids and floor from the texts of each language."""
     cents, pieces = [], []
     for lang in sorted(sample):
         texts = sorted(sample[lang])
         tf = np.concatenate([counts(texts[i : i + _ROWS]) for i in range(0, len(texts), _ROWS)])
-        tf = tf[tf.sum(1) > 0]
-        if not len(tf):
+        some = np.flatnonzero(tf.sum(1) > 0)
+        if not len(some):
             continue
-        c = _kmeans(model.weigh(tf)[0], clusters)
+        c, held = _centroids(model.weigh(tf[some])[0], clusters)
         cents.append(c)
         model.langs += [lang] * len(c)
-        pieces.append((c, [p for i, t in enumerate(texts) for p in _spans(t, 0, i)]))
+        pieces.append((lang, [p for i in some[held].tolist() for p in _spans(texts[i], 0, i)]))
     model.centroids = np.concatenate(cents) if cents else model.centroids
-    for c, spans in pieces:
+    low: list[list[float]] = [[] for _ in range(16)]
+    left_out = np.zeros(16)
+    for lang, spans in pieces:
+        own, far = np.array(model.langs) == lang, [[] for _ in range(16)]
         for i in range(0, len(spans), _ROWS):
             w, n = model.weigh(counts(spans[i : i + _ROWS]))
-            for b, s in zip(_bin(n), (w @ c.T).max(1)):
+            sim = w @ model.centroids.T
+            for b, s, f in zip(_bin(n), sim.max(1), sim[:, ~own].max(1, initial=0)):
                 low[b].append(float(s))
-    floor = np.array([np.quantile(v, 0.01) * slack if v else np.nan for v in low], np.float32)
+                far[b].append(float(f))
+        left_out = np.maximum(left_out, [np.quantile(v, 0.9) if v else 0 for v in far])
+    usual = np.array([np.quantile(v, 0.01, method="lower") * slack if v else np.nan for v in low], np.float32)
+    floor = np.minimum(usual, margin * left_out).astype(np.float32) if len(pieces) > 1 else usual
     known = np.flatnonzero(~np.isnan(floor))
     if len(known):
         model.floor = floor[known][np.searchsorted(known, np.arange(16)).clip(max=len(known) - 1)]

@@ -50,3 +50,17 @@ def test_odd_rows(spark, odd, none):
 
 def test_without_labels_all_are_rejected(spark):
     assert not any(r["accepted"] for r in langid.identify(documents(spark, ["some text here", "more"])).collect())
+
+def test_languages_left_out_of_fitting_are_rejected(spark):
+    """Each real language in turn has no labelled row, but for two texts under another language's label."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").filter("length(text) > 200").select("doc_id", "text", "lang").toPandas()
+    for out, other in (("de", "en"), ("en", "fr"), ("es", "de"), ("fr", "es")):
+        alien = docs["lang"] == out
+        langs = docs["lang"].mask(alien)
+        stray = docs[alien].sort_values("doc_id").index[:2]
+        langs[stray] = other
+        frame = documents(spark, docs["text"].tolist(), docs["doc_id"].tolist(), [g if isinstance(g, str) else None for g in langs])
+        got = {r["doc_id"]: r["accepted"] for r in langid.identify(frame).collect()}
+        ok = docs["doc_id"].map(got)
+        assert ok[alien].mean() < 0.1, out
+        assert ok[~alien].mean() > 0.95, out
