@@ -142,17 +142,24 @@ def pieces(docs: DataFrame, chunk: int, overlap: int, pattern: str) -> DataFrame
 
 def encode(docs: DataFrame, chunk: int = CHUNK, overlap: int = OVERLAP, vocabulary: str | None = None, pattern: str | None = None) -> DataFrame:
     """(doc_id, tokens, n_tokens) of every document."""
+    return _encoded(docs, chunk, overlap, vocabulary, pattern).drop("digest")
+
+
+def _encoded(docs: DataFrame, chunk: int = CHUNK, overlap: int = OVERLAP, vocabulary: str | None = None, pattern: str | None = None) -> DataFrame:
+    """(doc_id, digest, tokens, n_tokens) of every document; ``digest`` is its text's md5."""
     spark = common.tune(docs.sparkSession)
     code = _encode_column(vocabulary)
-    texts = docs.select("doc_id", "text", common.row_key().alias("key"))
+    texts = docs.select("doc_id", "text", common.row_key().alias("key"), F.md5(F.encode("text", "utf-8")).alias("digest"))
     big = F.length("text") > chunk
-    short = texts.filter(~F.coalesce(big, F.lit(False))).select("doc_id", code(F.col("text")).alias("tokens"))
+    short = texts.filter(~F.coalesce(big, F.lit(False))).select("doc_id", "digest", code(F.col("text")).alias("tokens"))
     whole = texts.filter(big)
     long_ = common.written(pieces(whole.dropDuplicates(["key"]).select("key", "text"), chunk, overlap, pattern or default_pattern()).repartition(2 * common.parts(spark)).select("key", "group", code(F.col("text")).alias("tokens")))
     joined = long_.groupBy("key").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("group", "tokens"))), lambda x: x["tokens"])).alias("tokens"))
-    rest = whole.select("doc_id", "key").join(joined, "key").select("doc_id", "tokens")
+    rest = whole.select("doc_id", "key", "digest").join(joined, "key").select("doc_id", "digest", "tokens")
     return short.unionByName(rest).withColumn("n_tokens", F.coalesce(F.size("tokens"), F.lit(0)).cast("long"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return encode(common.table(spark, sf_dir, "documents"))
+    """(doc_id, tokens, n_tokens, decoded, same) of every document: its tokens, the text they decode to, and whether that is its own."""
+    coded = decode(_encoded(common.table(spark, sf_dir, "documents")))
+    return coded.withColumn("same", F.md5(F.encode("decoded", "utf-8")).eqNullSafe(F.col("digest"))).drop("digest")

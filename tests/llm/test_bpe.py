@@ -53,3 +53,10 @@ def test_odd_rows(odd, none):
     assert all((r["tokens"] is None) == (r["decoded"] is None) for r in got)
     assert {r["n_tokens"] for r in got if r["doc_id"] in (1, 2)} == {0}
     assert bpe.encode(none).count() == 0
+
+
+def test_query_decodes_the_whole_table(spark, tiny):
+    want = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{tiny}/documents.parquet").collect()}
+    got = bpe.query(spark, tiny).collect()
+    assert {r["doc_id"]: r["decoded"] for r in got} == want and len(got) == len(want)
+    assert all(r["same"] for r in got)
