@@ -1,4 +1,8 @@
-"""JSON Schema checks: the supported subset compiled to Column predicates over VARIANT."""
+"""JSON Schema checks: the supported subset compiled to Column predicates over VARIANT.
+
+Keywords that would constrain a record and are not in the subset (lengths,
+pattern, bounds, item counts, additionalProperties ...) are refused, not ignored.
+"""
 
 from __future__ import annotations
 
@@ -9,6 +13,8 @@ from pyspark.sql import functions as F
 
 TYPES = {"object", "string", "number", "integer", "boolean", "array"}
 WALKED = {"type", "enum", "properties", "required", "items", "title", "description"}
+#: Keywords that constrain nothing by themselves.
+NOTES = {"$schema", "$id", "$comment", "default", "examples", "deprecated", "readOnly", "writeOnly", "format"}
 
 
 def check_subset(schema: Any, at: str = "schema") -> list[str]:
@@ -18,7 +24,7 @@ def check_subset(schema: Any, at: str = "schema") -> list[str]:
     kind = schema.get("type")
     if not isinstance(kind, str) or kind not in TYPES:
         return [f"{at}: unsupported type {kind!r}"]
-    bad = []
+    bad = [f"{at}.{word}: unsupported keyword" for word in sorted(map(str, schema)) if word not in WALKED | NOTES]
     if "enum" in schema and not isinstance(schema["enum"], list):
         bad.append(f"{at}.enum: must be a list")
     if kind == "object":

@@ -68,3 +68,11 @@ def test_schema(spark, record, valid):
 
 def test_schema_subset():
     assert not J.check_subset(SCHEMA) and J.check_subset({"type": ["string", "null"]}) and J.check_subset({"type": "array"}) and J.check_subset({}) and J.check_subset({"type": "object", "properties": {"a": {"type": "date"}}})
+
+
+def test_schema_keywords_that_are_not_enforced_are_refused():
+    for word, value in (("minLength", 2), ("pattern", "^a"), ("additionalProperties", False), ("maxItems", 3)):
+        inner = {"type": "string", word: value}
+        assert J.check_subset(inner) == [f"schema.{word}: unsupported keyword"]
+        assert J.check_subset({"type": "object", "properties": {"a": {"type": "array", "items": inner}}}) == [f"schema.a[].{word}: unsupported keyword"]
+    assert not J.check_subset({"$schema": "https://json-schema.org/draft/2020-12/schema", "type": "string", "title": "t", "default": "x"})
