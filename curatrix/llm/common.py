@@ -11,8 +11,9 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as ST
 
 #: Rows per Arrow batch for tables of texts: the Python side of a task holds one batch.
 BATCH_ROWS = 512
@@ -34,7 +35,9 @@ def shared_folder(spark: SparkSession) -> str:
         if not sc.master.startswith("local["):
             if sc.master != "local":
                 raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        where = _own.setdefault(sc.applicationId, tempfile.mkdtemp(prefix="curatrix-"))
+        if sc.applicationId not in _own:
+            _own[sc.applicationId] = tempfile.mkdtemp(prefix="curatrix-")
+        where = _own[sc.applicationId]
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(where)
     return where
@@ -51,23 +54,28 @@ def written(df: DataFrame) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: its lineage ends there and survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
+    _tables.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+_tables: list[str] = []
+
+
 def release(spark: SparkSession) -> None:
     """Have Spark delete the shuffle files of plans that nothing refers to any more."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
 
 
-def dropped(df: DataFrame) -> None:
-    """Delete the files of a table that ``written`` made."""
-    jvm = df.sparkSession._jvm
-    conf = df.sparkSession._jsc.hadoopConfiguration()
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
+def clear(spark: SparkSession, *keep: DataFrame) -> None:
+    """Delete all tables that ``written`` made, but for those that ``keep`` reads: nothing else may still depend on them."""
+    kept = {f.rsplit("/", 1)[0].rsplit("/", 1)[1] for df in keep for f in df.inputFiles()}
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for table_ in [t for t in _tables if t.rsplit("/", 1)[1] not in kept]:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(table_)
         path.getFileSystem(conf).delete(path, True)
+        _tables.remove(table_)
 
 
 def row_key(id_col: str = "doc_id", text_col: str = "text"):
@@ -79,6 +87,70 @@ def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def numbered(df: DataFrame, *order: Column, name: str = "rank") -> DataFrame:
+    """``df``, written, with each row's place (from 0) in a total order, which no single task ever sees.
+
+    Rows are range-partitioned and sorted within partitions; a row's place is
+    the number of rows in the partitions before it and its place in its own.
+    """
+    spark = df.sparkSession
+    (at, part, start) = fresh(df, "at", "part", "start")
+    spread = df.repartitionByRange(parts(spark), *order).sortWithinPartitions(*order)
+    rows = written(spread.withColumn(at, F.monotonically_increasing_id()))
+    sizes = rows.groupBy(F.shiftright(at, 33).alias(part)).agg(F.count("*").alias("n")).collect()
+    total, starts = 0, []
+    for r in sorted(sizes, key=lambda r: r[part]):
+        starts.append((r[part], total))
+        total += r["n"]
+    # One row for each partition.
+    before = F.broadcast(spark.createDataFrame(starts, f"{part} long, {start} long"))
+    joined = rows.withColumn(part, F.shiftright(at, 33)).join(before, part)
+    return joined.withColumn(name, F.col(start) + F.col(at).bitwiseAND((1 << 33) - 1)).drop(at, part, start)
+
+
+def integral(df: DataFrame, column: str) -> bool:
+    return isinstance(df.schema[column].dataType, (ST.ByteType, ST.ShortType, ST.IntegerType, ST.LongType))
+
+
+def id_numbers(df: DataFrame, column: str) -> DataFrame | None:
+    """(id, number) of the distinct ids that are not null, in their order; None where the ids are integers themselves."""
+    if integral(df, column):
+        return None
+    ids = df.select(F.col(column).alias("id")).filter("id is not null").distinct()
+    return written(numbered(ids, F.col("id").asc(), name="number"))
+
+
+def placed(df: DataFrame, shard: str, shards: int, *order: Column) -> DataFrame:
+    """``df`` with every shard (0 to ``shards`` - 1) whole in one task, shards spread evenly, sorted by shard and ``order`` within a task."""
+    tasks = min(shards, 16 * parts(df.sparkSession))
+    task = F.floor(F.col(shard) * F.lit(tasks) / F.lit(shards)).cast("int")
+    return df.repartitionById(tasks, task).sortWithinPartitions(shard, *order)
+
+
+def met(it: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Table | None, pa.RecordBatch | None]]:
+    """(shard, home rows, None) for each shard of ``placed`` rows, then (shard, None, asks) for each batch of its asks.
+
+    Rows have ``shard`` and ``asks`` (false first): only the home rows are held.
+    """
+    shard, home = None, []
+    for batch in it:
+        number, asks = batch.column("shard").to_numpy(), batch.column("asks").to_numpy(zero_copy_only=False)
+        step = number.astype(np.int64) * 2 + asks
+        cut = np.r_[np.flatnonzero(np.r_[True, step[1:] != step[:-1]]), len(step)] if len(step) else np.zeros(1, np.int64)
+        for a, b in zip(cut, cut[1:]):
+            if number[a] != shard:
+                shard, home = int(number[a]), []
+            if not asks[a]:
+                home.append(batch.slice(a, b - a))
+                continue
+            if isinstance(home, list):
+                if home:
+                    yield shard, pa.Table.from_batches(home), None
+                home = bool(home)
+            if home:
+                yield shard, None, batch.slice(a, b - a)
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Column names that ``df`` doesn't have yet."""
     have, out = {c.lower() for c in df.columns}, []
