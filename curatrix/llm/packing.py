@@ -9,28 +9,27 @@ text hash) and fill batches: as many rows as the token budget holds at the
 bucket's bound.
 
 No document is cut and none is left out: one longer than the budget is a batch
-by itself. Places are found without a global sort: a group of one length and
-one range of ids is numbered by itself, and the groups' sizes, which the same
-histogram gives, place it.
+by itself. Documents are numbered in order through range partitions: a row's
+place is the number of rows in the partitions before it and its place in its
+own, so no task sees a whole length or bucket.
 
 Defined results: null, empty and blank texts have length 0; their bucket's
 bound may be 0, and its batches hold ``budget`` rows. Null ids come first in
-their length. Rows with equal id and text are packed each. An empty table
+their length; ids may be of any type that can be ordered. Rows with equal id
+and text are packed each, in places that follow one another. An empty table
 gives an empty result. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
 
 BUDGET = 16384
 BUCKETS = 8
-#: Ids a group of one length spans: no task numbers more rows than that, but for repeated ids.
-ID_RANGE = 1 << 20
 
 
 def bounds(lengths: np.ndarray, counts: np.ndarray, buckets: int = BUCKETS) -> list[int]:
@@ -73,29 +72,22 @@ def bounds(lengths: np.ndarray, counts: np.ndarray, buckets: int = BUCKETS) -> l
     return out[::-1]
 
 
-def pack(docs: DataFrame, budget: int = BUDGET, buckets: int = BUCKETS, id_range: int = ID_RANGE) -> DataFrame:
+def pack(docs: DataFrame, budget: int = BUDGET, buckets: int = BUCKETS) -> DataFrame:
     """(doc_id, n_tokens, bucket, bucket_length, batch, place): every document's batch within its bucket and place within that."""
     spark = common.tune(docs.sparkSession)
     n = F.coalesce(F.regexp_count("text", F.lit(r"[^\x00-\x20]+")), F.lit(0)).cast("long")
     sized = common.written(docs.select("doc_id", common.row_key().alias("key"), n.alias("n_tokens")))
-    part = F.floor(F.col("doc_id").cast("double") / id_range).cast("long")
-    sized = sized.withColumn("ids", part)
-    groups = common.written(sized.groupBy("n_tokens", "ids").agg(F.count("*").alias("rows")))
-    histogram = groups.groupBy("n_tokens").agg(F.sum("rows").alias("rows")).orderBy("n_tokens").toPandas()
+    histogram = sized.groupBy("n_tokens").agg(F.count("*").alias("rows")).orderBy("n_tokens").toPandas()
     lengths, counts = histogram["n_tokens"].to_numpy(), histogram["rows"].to_numpy()
     tops = bounds(lengths, counts, buckets)
     which = np.searchsorted(tops, lengths)
     before = np.r_[0, np.cumsum(counts)[:-1]] if len(counts) else counts
-    first = np.array([before[np.searchsorted(which, b)] for b in which], dtype=np.int64)
-    places = [(int(x), int(b), int(tops[b]), int(s)) for x, b, s in zip(lengths, which, before - first)]
+    places = [(int(x), int(b), int(tops[b]), int(before[np.searchsorted(which, b)])) for x, b in zip(lengths, which)]
     # One row for each distinct length: as many as the longest document has words, at most.
-    place = F.broadcast(spark.createDataFrame(places, "n_tokens long, bucket int, bucket_length long, length_start long"))
-    offsets = groups.withColumn("start", F.sum("rows").over(Window.partitionBy("n_tokens").orderBy(F.col("ids").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)))
-    offsets = offsets.select(F.col("n_tokens").alias("g_tokens"), F.col("ids").alias("g_ids"), F.coalesce("start", F.lit(0)).alias("start"))
-    order = Window.partitionBy("n_tokens", "ids").orderBy(F.col("doc_id").asc_nulls_first(), "key")
-    numbered = sized.withColumn("at", F.row_number().over(order) - 1)
-    joined = numbered.join(offsets, (F.col("n_tokens") == F.col("g_tokens")) & F.col("ids").eqNullSafe(F.col("g_ids"))).join(place, "n_tokens")
-    rank = F.col("length_start") + F.col("start") + F.col("at")
+    place = F.broadcast(spark.createDataFrame(places, "n_tokens long, bucket int, bucket_length long, bucket_start long"))
+    order = (F.col("n_tokens").asc(), F.col("doc_id").asc_nulls_first(), F.col("key").asc())
+    joined = common.numbered(sized, *order, name="at").join(place, "n_tokens")
+    rank = F.col("at") - F.col("bucket_start")
     rows = F.greatest(F.lit(1), F.floor(F.lit(budget) / F.greatest(F.col("bucket_length"), F.lit(1)))).cast("long")
     return joined.select("doc_id", "n_tokens", "bucket", "bucket_length", F.floor(rank / rows).cast("long").alias("batch"), (rank % rows).alias("place"))
 
