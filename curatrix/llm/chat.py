@@ -9,20 +9,29 @@ searching the prefix sums of the turns' tokens. Assistant turns are targets in
 the window where they are new, and masked where they are repeated; system and
 user turns are always masked.
 
-A turn counts the tokens of its rendered form (byte-level BPE), which is what
-the window's text holds. Turns are never cut: a new turn that doesn't fit
-beside the system turns is a window of its own, without history, and
-``over_budget`` says so.
+A turn is rendered as ``<|role|>``, its text and ``<|end|>``, each on lines of
+their own. The pre-tokeniser splits before and behind the single newline that
+ends a turn, whatever stands next, so no token spans two turns and a window's
+text has exactly as many tokens as its turns together (byte-level BPE).
+``<|`` within a text is written ``<||``, so that text never reads as a turn
+(``unescape`` undoes it); in a role, what isn't a letter, digit, ``_`` or ``-``
+is written ``_``. Turns are never cut: a new turn that doesn't fit beside the
+system turns is a window of its own, without history, and ``over_budget`` says
+so.
+
+Turns are streamed: a task holds a conversation's system turns, which all its
+windows repeat, and the turns of one window, however long the conversation.
 
 Defined results: turns with null conv_id are one conversation; a null turn
-number comes first, a null role is rendered as 'user', null text as ''.
-Repeated rows are turns each. A conversation that has only system turns is one
-window. An empty table gives an empty result. Extra columns are ignored.
+number comes first, a null or empty role is rendered as 'user', null text as
+''. Repeated rows are turns each. A conversation that has only system turns is
+one window. An empty table gives an empty result. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import base64
+import re
 from bisect import bisect_left, bisect_right
 
 import pyarrow as pa
@@ -52,7 +61,48 @@ _made: dict = {}
 
 
 def render(role: str | None, text: str | None) -> str:
-    return f"<|{role or 'user'}|>\n{text or ''}\n"
+    return f"<|{re.sub(r'[^\w-]', '_', role or 'user')}|>\n{(text or '').replace('<|', '<||')}\n<|end|>\n"
+
+
+def unescape(text: str) -> str:
+    """A turn's text as it was before ``render``."""
+    return text.replace("<||", "<|")
+
+
+class Cutter:
+    """Cuts a stream of turns into windows; it holds those from the history of the next window on."""
+
+    def __init__(self, lead: int, budget: int, history: int):
+        self.room, self.history = budget - lead, history
+        self.turns: list = []
+        self.upto, self.new = [0], 0
+
+    def push(self, turn, size: int):
+        """The windows that are settled once this turn is known, as (turns, number of repeated ones, over budget)."""
+        self.turns.append(turn)
+        self.upto.append(self.upto[-1] + size)
+        yield from self._settled(False)
+
+    def close(self):
+        """The windows that are left."""
+        yield from self._settled(True)
+
+    def _settled(self, last: bool):
+        while self.new < len(self.turns):
+            upto, new = self.upto, self.new
+            # The first new turn must fit behind the history; the history gives way for it.
+            first = bisect_left(upto, upto[new] - self.history, 0, new + 1)
+            first = max(first, min(new, bisect_left(upto, upto[new + 1] - self.room, 0, new + 1)))
+            end = bisect_right(upto, upto[first] + self.room) - 1
+            over = end <= new
+            if over:
+                first, end = new, new + 1
+            elif end == len(self.turns) and not last:
+                return  # the next turn may still fit
+            yield self.turns[first:end], new - first, over
+            # Later histories start here at the earliest.
+            gone = bisect_left(upto, upto[end] - self.history, 0, end + 1)
+            self.turns, self.upto, self.new = self.turns[gone:], upto[gone:], end - gone
 
 
 def windows(system: list[int], sizes: list[int], budget: int, history: int) -> list[tuple[int, int, int, bool]]:
@@ -60,36 +110,13 @@ def windows(system: list[int], sizes: list[int], budget: int, history: int) -> l
 
     ``system`` and ``sizes`` are token counts.
     """
-    upto = [0]
-    for s in sizes:
-        upto.append(upto[-1] + s)
-    room = budget - sum(system)
+    cutter, out = Cutter(sum(system), budget, history), []
     if not sizes:
-        return [(0, 0, 0, room < 0)] if system else []
-    out, new = [], 0
-    while new < len(sizes):
-        # The first new turn must fit behind the history; the history gives way for it.
-        first = bisect_left(upto, upto[new] - history, 0, new + 1)
-        first = max(first, min(new, bisect_left(upto, upto[new + 1] - room, 0, new + 1)))
-        end = bisect_right(upto, upto[first] + room) - 1
-        over = end <= new
-        if over:
-            first, end = new, new + 1
-        out.append((first, new, end, over))
-        new = end
-    return out
-
-
-def _conversation(roles: list, texts: list, sizes: list[int], budget: int, history: int):
-    """Windows of one conversation as (turn positions, targets, tokens, target tokens, over, text)."""
-    system = [i for i, r in enumerate(roles) if r == "system"]
-    rest = [i for i, r in enumerate(roles) if r != "system"]
-    lead = sum(sizes[i] for i in system)
-    for first, new, end, over in windows([sizes[i] for i in system], [sizes[i] for i in rest], budget, history):
-        turns = system + rest[first:end]
-        targets = [False] * len(system) + [k >= new and roles[rest[k]] == "assistant" for k in range(first, end)]
-        n = lead + sum(sizes[i] for i in rest[first:end])
-        yield turns, targets, n, sum(sizes[i] for i, t in zip(turns, targets) if t), over, "".join(texts[i] for i in turns)
+        return [(0, 0, 0, cutter.room < 0)] if system else []
+    for k, size in enumerate(sizes):
+        out += cutter.push(k, size)
+    out += cutter.close()
+    return [(turns[0], turns[old], turns[-1] + 1, over) for turns, old, over in out]
 
 
 _DDL = "conv_id {id}, window int, turns array<{turn}>, targets array<boolean>, n_tokens int, target_tokens int, over_budget boolean, text string"
@@ -103,43 +130,54 @@ def format_windows(conversations: DataFrame, budget: int = BUDGET, history: int
 
     def run(it):
         enc = tokenizer(vocabulary)
-        held: list = []
-        key: object = ()
         rows: list = []
+        key, system, cutter, number = (), [], None, 0
+
+        def add(turns, old, over):
+            nonlocal number
+            every = system + turns
+            targets = [k >= len(system) + old and t[1] == "assistant" for k, t in enumerate(every)]
+            rows.append((key, number, [t[0] for t in every], targets, sum(t[3] for t in every), sum(t[3] for t, on in zip(every, targets) if on), over, "".join(t[2] for t in every)))
+            number += 1
 
         def close():
-            if not held:
-                return
-            roles, texts = [h[1] for h in held], [h[2] for h in held]
-            sizes = [len(x) for x in enc.encode_ordinary_batch(texts, num_threads=1)]
-            for w, (turns, targets, n, t, over, text) in enumerate(_conversation(roles, texts, sizes, budget, history)):
-                rows.append((key, w, [held[i][0] for i in turns], targets, n, t, over, text))
-            held.clear()
+            if cutter is not None:
+                for found in cutter.close():
+                    add(*found)
+            elif system:
+                add([], 0, sum(t[3] for t in system) > budget)
 
         def give():
             got, rows[:] = list(rows), []
             cols = list(zip(*got)) if got else [[] for _ in names]
             return pa.RecordBatch.from_arrays([pa.array(c, f) for c, f in zip(cols, types)], names=names)
 
-        names, types = None, None
+        names, types = ["conv_id", "window", "turns", "targets", "n_tokens", "target_tokens", "over_budget", "text"], None
         for batch in it:
-            if names is None:
-                names = ["conv_id", "window", "turns", "targets", "n_tokens", "target_tokens", "over_budget", "text"]
+            if types is None:
                 types = [batch.schema.field("conv_id").type, pa.int32(), pa.list_(batch.schema.field("turn").type), pa.list_(pa.bool_()), pa.int32(), pa.int32(), pa.bool_(), pa.string()]
-            for conv, turn, role, text in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "turn", "role", "text"))):
+            convs, turns, roles, texts = (batch.column(c).to_pylist() for c in ("conv_id", "turn", "role", "text"))
+            texts = [render(r, t) for r, t in zip(roles, texts)]
+            for conv, turn, role, text, tokens in zip(convs, turns, roles, texts, enc.encode_ordinary_batch(texts, num_threads=1)):
                 if conv != key:
                     close()
-                    key = conv
-                held.append((turn, role, render(role, text)))
-            if len(rows) >= 256:
-                yield give()
+                    key, system, cutter, number = conv, [], None, 0
+                if role == "system":
+                    system.append((turn, role, text, len(tokens)))
+                    continue
+                cutter = cutter or Cutter(sum(t[3] for t in system), budget, history)
+                for found in cutter.push((turn, role, text, len(tokens)), len(tokens)):
+                    add(*found)
+                if len(rows) >= 256:
+                    yield give()
         close()
         if rows:
             yield give()
 
     turns = conversations.select("conv_id", "turn", "role", "text").repartition(common.parts(spark), "conv_id")
-    ordered = turns.sortWithinPartitions(F.col("conv_id").asc_nulls_first(), F.col("turn").asc_nulls_first(), F.col("role").asc_nulls_first(), F.col("text").asc_nulls_first())
-    return ordered.mapInArrow(run, ddl)
+    lead = F.coalesce(F.col("role") == "system", F.lit(False)).desc()
+    ordered = turns.sortWithinPartitions(F.col("conv_id").asc_nulls_first(), lead, F.col("turn").asc_nulls_first(), F.col("role").asc_nulls_first(), F.col("text").asc_nulls_first())
+    return ordered.mapInArrow(common.lean(run), ddl)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
