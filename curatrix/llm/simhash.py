@@ -14,18 +14,26 @@ distance ``d`` needs the near side only if d - 2 <= m and the far side only if
 d + 2 > m (the triangle bounds). The upper levels of the trees, grown until a
 cell holds about ``CELL_ROWS`` fingerprints, cut each segment into shards; a
 fingerprint lives in one shard of a segment and is sent as a query to all
-shards that its ball overlaps. A shard grows the lower levels itself. Pairs
-that a segment finds are verified on all 192 bits.
+shards that its ball overlaps. A cell that holds several times as many (its
+load is counted) is cut further, by hash, and queried in all its parts. A
+shard grows the lower levels itself. Pairs that a segment finds are verified
+on all 192 bits. (Trees over whole fingerprints would prune nothing: the
+distances of unrelated fingerprints differ by less than the radius.)
 
 Only distinct fingerprints are searched, so groups of thousands of copies
-cost one fingerprint. Groups are the connected components of the pairs, and
-the document that is first by (doc_id nulls first, then text hash) stays.
-
-Defined results: null or blank text has no fingerprint and is never a
-duplicate. Text without letters or digits is a copy only of equal text. Rows
-with equal id and text are one document listed twice; ``keep_first`` keeps
-one of them. Rows with equal id but different text are different documents.
-An empty table gives an empty result. Extra columns are kept by
+cost one fingerprint. No link is lost, and none is listed: a shard counts the
+links of its fingerprints, each pair in the first segment that finds it, and
+gives as many pairs as connect what its pairs connect. Classes are the
+connected components, and the document that is first by (doc_id nulls first,
+then text hash) stays.
+
+Defined results: null or blank text has no fingerprint, is never a near copy
+and is a class of its own. Text without letters or digits is a copy only of
+equal text. Rows with equal id and text are one document listed twice: they
+get equal results, and ``keep_first`` keeps the first of them in the order of
+their other columns (those with null text all stay). Rows with equal id but
+different text are different documents. A class is named by its least id that
+is not null. An empty table gives an empty result. Extra columns are kept by
 ``keep_first`` and ignored otherwise.
 """
 
@@ -244,156 +252,211 @@ def _join(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
             label = deep
 
 
-_PAIRS = "a long, b long, distance int"
-
-
-def pairs(prints: DataFrame, rows: int, cell_rows: int = CELL_ROWS, forest: bool = False) -> DataFrame:
-    """Exact pairs (a, b, distance), a < b, of distinct fingerprints ``prints`` (fid, fp); ``rows`` is their number.
-
-    With ``forest`` a shard gives only enough of its pairs to connect what its
-    pairs connect: a group of m copies then sends m - 1 rows, not m * m / 2.
-    """
+_FOUND = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("distance", pa.int32()), ("links", pa.int64())])
+_FOUND_DDL = "a long, b long, distance int, links long"
+_SENT = pa.schema([("shard", pa.int32()), ("asks", pa.bool_()), ("fid", pa.int64()), ("fp", pa.binary()), ("docs", pa.int64())])
+_SENT_DDL = "shard int, asks boolean, fid long, fp binary, docs long"
+
+
+def _first_found(home: np.ndarray, asks: np.ndarray, segment: int) -> np.ndarray:
+    """Whether no segment before this one finds the pairs (rows of two equally long tables of segments)."""
+    d = _far(home, asks)
+    found = (d <= NEAR) & (d + d[:, np.arange(SEGMENTS) ^ 1] <= PAIR_NEAR)
+    return ~found[:, :segment].any(1)
+
+
+class _Shard:
+    """A shard's home fingerprints and what is found of them; queries are streamed past."""
+
+    def __init__(self, home: pa.Table, segment: int, forest: bool):
+        fid, fps = home["fid"].to_numpy(), _matrix(home["fp"])
+        o = np.argsort(segments(fps)[:, segment], kind="stable")
+        self.fid, self.fps, self.docs = fid[o], fps[o], home["docs"].to_numpy()[o]
+        self.segment, self.forest = segment, forest
+        self.links, self.label = np.zeros(len(o), np.int64), np.arange(len(o))
+
+    def ask(self, asks: pa.Table):
+        """Rows of what is found: pairs, or the queries' counts of links."""
+        fid, fps, docs = asks["fid"].to_numpy(), _matrix(asks["fp"]), asks["docs"].to_numpy()
+        o = np.argsort(segments(fps)[:, self.segment], kind="stable")
+        fid, fps, docs = fid[o], fps[o], docs[o]
+        hseg, qseg = segments(self.fps), segments(fps)
+        links, done = np.zeros(len(fid), np.int64), np.full(len(fid), -1, np.int64)
+        for i, j in _shard_pairs(hseg, qseg, self.segment):
+            i, j = i.astype(np.int64), j.astype(np.int64)
+            # Of fingerprints with one value each is home and query to the other: once is enough.
+            ok = (self.fid[i] < fid[j]) | ((hseg[i, self.segment] != qseg[j, self.segment]) & (self.fid[i] != fid[j]))
+            i, j, d = _verified(self.fps, fps, i[ok], j[ok])
+            ok = _first_found(hseg[i], qseg[j], self.segment)
+            i, j, d = i[ok], j[ok], d[ok]
+            if not len(i):
+                continue
+            if self.forest:
+                self.links += np.bincount(i, docs[j], len(self.links)).astype(np.int64)
+                links += np.bincount(j, self.docs[i], len(links)).astype(np.int64)
+                # The first partner of each query is its link; others are merged with that one.
+                fresh = np.flatnonzero(done[j] < 0)
+                _, one = np.unique(j[fresh], return_index=True)
+                fresh = fresh[one]
+                done[j[fresh]] = i[fresh]
+                self.label = _join(self.label, i, done[j])
+                i, j, d = i[fresh], j[fresh], d[fresh]
+            yield self._pairs(self.fid[i], fid[j], d)
+        yield self._counts(fid, links)
+
+    def close(self):
+        """The pairs that connect the home fingerprints, and their counts of links."""
+        i = np.flatnonzero(self.label != np.arange(len(self.label)))
+        yield self._pairs(self.fid[i], self.fid[self.label[i]], None)
+        yield self._counts(self.fid, self.links)
+
+    @staticmethod
+    def _pairs(a: np.ndarray, b: np.ndarray, d: np.ndarray | None) -> pa.RecordBatch:
+        n = len(a)
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.nulls(n, pa.int32()) if d is None else pa.array(d, pa.int32()), pa.nulls(n, pa.int64())], schema=_FOUND)
+
+    @staticmethod
+    def _counts(fid: np.ndarray, links: np.ndarray) -> pa.RecordBatch:
+        some = np.flatnonzero(links)
+        n = len(some)
+        return pa.RecordBatch.from_arrays([pa.array(fid[some]), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), pa.array(links[some])], schema=_FOUND)
+
+
+def _search(prints: DataFrame, rows: int, cell_rows: int, forest: bool) -> DataFrame:
+    """(a, b, distance, links): pairs a < b of the distinct fingerprints ``prints`` (fid, fp, docs), each once; with ``forest`` only
+    as many as connect what they connect, and rows with null b that add up to the number of documents that ``a`` is linked to."""
     depth = max(0, int(np.ceil(np.log2(max(rows, 1) / cell_rows))))
     every = np.random.default_rng(7).permutation(1 << SEGMENT_BITS).astype(np.uint16)
     # A tree over all 2**16 values needs no look at the data and serves every segment.
     tree, cells = plant(every, depth)
 
+    def load(it):
+        total = np.zeros(SEGMENTS * cells, np.int64)
+        for batch in it:
+            seg = segments(_matrix(batch.column(0)))
+            for s in range(SEGMENTS):
+                total += np.bincount(s * cells + route(tree, seg[:, s], 0)[1], minlength=len(total))
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["cell", "n"])
+
+    loads = np.zeros(SEGMENTS * cells, np.int64)
+    for r in prints.select("fp").mapInArrow(load, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():
+        loads[r["cell"]] = r["n"]
+    many = np.maximum(1, -(-loads // (4 * cell_rows)))
+    first = np.r_[0, np.cumsum(many)]
+    cell_of = np.repeat(np.arange(len(many)), many)
+
     def send(batch: pa.RecordBatch):
-        fid, fps = batch.column(0), _matrix(batch.column(1))
-        seg = segments(fps)
+        fid, fps, docs = (batch.column(c) for c in ("fid", "fp", "docs"))
+        seg, mixed = segments(_matrix(fps)), mix64(fid.to_numpy().astype(np.uint64))
         for s in range(SEGMENTS):
-            home_row, home_cell = route(tree, seg[:, s], 0)
-            ask_row, ask_cell = route(tree, seg[:, s], NEAR)
-            at = np.empty(len(fps), np.int64)
-            at[home_row] = home_cell
-            # One row serves a shard as home and as query: every fingerprint also asks its own shard.
-            take = pa.array(ask_row)
-            yield {"shard": s * cells + ask_cell, "home": at[ask_row] == ask_cell, "fid": fid.take(take), "fp": batch.column(1).take(take)}
-
-    sent_schema = pa.schema([("shard", pa.int64()), ("home", pa.bool_()), ("fid", pa.int64()), ("fp", pa.binary())])
-    sent = prints.select("fid", "fp").mapInArrow(common.batches(send, sent_schema), "shard long, home boolean, fid long, fp binary")
+            row, cell = route(tree, seg[:, s], 0)
+            cell = s * cells + cell
+            take = pa.array(row)
+            yield {"shard": first[cell] + (mixed[row] % many[cell].astype(np.uint64)).astype(np.int64), "asks": np.zeros(len(row), bool), "fid": fid.take(take), "fp": fps.take(take), "docs": docs.take(take)}
+            row, cell = route(tree, seg[:, s], NEAR)
+            cell = s * cells + cell
+            part = np.arange(many[cell].sum()) - np.repeat(np.cumsum(many[cell]) - many[cell], many[cell])
+            take = pa.array(np.repeat(row, many[cell]))
+            yield {"shard": np.repeat(first[cell], many[cell]) + part, "asks": np.ones(len(part), bool), "fid": fid.take(take), "fp": fps.take(take), "docs": docs.take(take)}
 
     def find(it):
-        """Shards come one after another, each with its home rows first; queries are streamed against them."""
-        shard, home, asks, label = None, None, [], None
-
-        def flush():
-            nonlocal asks, label
-            if not asks:
-                return
-            fid, fps = np.concatenate([f for f, _ in asks]), np.concatenate([f for _, f in asks])
-            asks = []
-            segment = shard // cells
-            o = np.argsort(segments(fps)[:, segment], kind="stable")
-            fid, fps = fid[o], fps[o]
-            got, done = [], np.full(len(fid), -1, np.int64)
-            for i, j in _shard_pairs(segments(home[1]), segments(fps), segment):
-                i, j = i.astype(np.int64), j.astype(np.int64)
-                ok = home[0][i] != fid[j]
-                if forest:
-                    ok &= (done[j] < 0) | (label[np.maximum(done[j], 0)] != label[i])
-                i, j, d = _verified(home[1], fps, i[ok], j[ok])
-                if forest:
-                    # The first partner of each query is its link; others are merged with that one.
-                    fresh = np.flatnonzero(done[j] < 0)
-                    _, one = np.unique(j[fresh], return_index=True)
-                    fresh = fresh[one]
-                    done[j[fresh]] = i[fresh]
-                    label = _join(label, i, done[j])
-                    i, j, d = i[fresh], j[fresh], d[fresh]
-                got.append((home[0][i], fid[j], d))
-            for a, b, d in got:
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(d, pa.int32())], ["a", "b", "distance"])
-
-        def finish():
-            nonlocal home
-            if home is None:
-                return
-            settle()
-            yield from flush()
-            if forest:
-                i = np.flatnonzero(label != np.arange(len(label)))
-                a, b = home[0][i], home[0][label[i]]
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(np.zeros(len(i), np.int32))], ["a", "b", "distance"])
-
-        def settle():
-            """Close the list of home rows."""
-            nonlocal home, label
-            if isinstance(home, list):
-                fid, fps = np.concatenate([f for f, _ in home]), np.concatenate([f for _, f in home])
-                o = np.argsort(segments(fps)[:, shard // cells], kind="stable")
-                home, label = (fid[o], fps[o]), np.arange(len(fid))
-
-        for batch in it:
-            number, live = batch.column("shard").to_numpy(), batch.column("home").to_numpy(zero_copy_only=False)
-            fid, fps = batch.column("fid").to_numpy(), _matrix(batch.column("fp"))
-            cut = np.r_[np.flatnonzero(np.r_[True, number[1:] != number[:-1]]), len(number)]
-            for a, b in zip(cut, cut[1:]):
-                if number[a] != shard:
-                    yield from finish()
-                    shard, home, asks = int(number[a]), [], []
-                n = a + int(live[a:b].sum())
-                if isinstance(home, list) and n > a:
-                    home.append((fid[a:n], fps[a:n]))
-                asks.append((fid[a:b], fps[a:b]))
-                if n < b:
-                    if home:
-                        settle()
-                    if not isinstance(home, list) and sum(len(f) for f, _ in asks) >= _ASKS:
-                        yield from flush()
-                if isinstance(home, list) and not home:
-                    asks = []  # nothing lives in this shard
-        if home is not None and not (isinstance(home, list) and not home):
-            yield from finish()
-
-    spread = sent.repartition(SEGMENTS * cells, "shard").sortWithinPartitions("shard", F.desc("home"))
-    return spread.mapInArrow(common.lean(find), _PAIRS).distinct()
-
-
-def _groups(docs: DataFrame, cell_rows: int) -> tuple[DataFrame, DataFrame]:
-    """The fingerprints (key, doc_id, fp), and those of groups with several documents as (key, doc_id, fp, stays, stays_fp)."""
-    each = docs.filter(F.col("text").isNotNull()).select("doc_id", common.row_key().alias("key"), fingerprint(F.col("text")).alias("fp"))
-    prints = common.written(each.filter("fp is not null"))
-    first = F.min(F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", "key")).alias("head")
-    # Repeated rows are one document: they have one key.
-    heads = prints.groupBy("fp").agg(first, (F.min("key") != F.max("key")).alias("several"))
-    heads = common.written(heads.select(F.xxhash64("fp").alias("fid"), "fp", "head", "several"))
-    found = pairs(heads.repartition(common.parts(docs.sparkSession)), heads.count(), cell_rows, forest=True)
-    comp = common.components(found).withColumnRenamed("node", "fid")
-    grouped = heads.join(comp, "fid", "left").filter("root is not null or several").withColumn("root", F.coalesce("root", "fid"))
-    best = grouped.groupBy("root").agg(F.min(F.struct("head", "fp")).alias("best"))
-    grouped = grouped.join(best, "root").select("fp", F.col("best.head").alias("stays"), F.col("best.fp").alias("stays_fp"))
-    return prints, prints.join(grouped, "fp").select("key", "doc_id", "fp", "stays", "stays_fp")
-
-
-def duplicates(docs: DataFrame, cell_rows: int = CELL_ROWS) -> DataFrame:
-    """(doc_id, duplicate_of, distance): every document that goes, with the document of its group that stays.
-
-    ``distance`` is between these two; within a chain it can exceed the radius.
+        own, number, held, size = None, -1, [], 0
+        for shard, home, asks in common.met(it):
+            if held and (home is not None or size >= _ASKS):
+                yield from own.ask(pa.Table.from_batches(held))
+                held, size = [], 0
+            if home is not None:
+                if own and forest:
+                    yield from own.close()
+                own, number = _Shard(home, int(cell_of[shard]) // cells, forest), shard
+            else:
+                held.append(asks)
+                size += asks.num_rows
+        if held:
+            yield from own.ask(pa.Table.from_batches(held))
+        if own and forest:
+            yield from own.close()
+
+    sent = prints.select("fid", "fp", "docs").mapInArrow(common.batches(send, _SENT), _SENT_DDL)
+    return common.placed(sent, "shard", int(first[-1]), F.col("asks")).mapInArrow(common.lean(find), _FOUND_DDL)
+
+
+def pairs(prints: DataFrame, rows: int, cell_rows: int = CELL_ROWS) -> DataFrame:
+    """Exact pairs (a, b, distance), a < b, of distinct fingerprints ``prints`` (fid, fp); ``rows`` is their number."""
+    return _search(prints.withColumn("docs", F.lit(1).cast("long")), rows, cell_rows, False).filter("b is not null").drop("links")
+
+
+def _prints(docs: DataFrame) -> DataFrame:
+    """(key, doc_id, fp) of every document with text; fp is null where that is blank."""
+    return docs.filter(F.col("text").isNotNull()).select("doc_id", common.row_key().alias("key"), fingerprint(F.col("text")).alias("fp"))
+
+
+def _classes(prints: DataFrame, cell_rows: int) -> DataFrame:
+    """(fp, root, links) of the fingerprints of ``prints`` (key, doc_id, fp) that several documents have or that are near others.
+
+    Fingerprints that one document has two of are of one class. ``links``
+    counts the documents at most RADIUS away, the document itself left out.
     """
+    each = prints.filter("fp is not null").select("fp", "key").distinct()
+    heads = common.written(each.groupBy("fp").agg(F.count("*").alias("docs")).select(F.xxhash64("fp").alias("fid"), "fp", "docs"))
+    found = common.written(_search(heads.repartition(common.parts(prints.sparkSession)), heads.count(), cell_rows, True))
+    edges = found.filter("b is not null").select("a", "b")
+    twice = each.groupBy("key").agg(F.min("fp").alias("x"), F.max("fp").alias("y")).filter("x <> y")
+    comp = common.components(edges.union(twice.select(F.xxhash64("x"), F.xxhash64("y")))).withColumnRenamed("node", "fid")
+    links = found.filter("b is null").groupBy(F.col("a").alias("fid")).agg(F.sum("links").alias("near"))
+    grouped = heads.join(comp, "fid", "left").join(links, "fid", "left").filter("root is not null or docs > 1")
+    return common.written(grouped.select("fp", F.coalesce("root", "fid").alias("root"), (F.coalesce("near", F.lit(0)) + F.col("docs") - 1).alias("links")))
+
+
+def near_copies(docs: DataFrame, cell_rows: int = CELL_ROWS) -> DataFrame:
+    """(doc_id, class_id, links) of every document: its class of near copies, and how many other documents are near copies of it itself."""
     common.tune(docs.sparkSession)
-    _, g = _groups(docs, cell_rows)
-    part8 = [F.bit_count(F.conv(F.hex(F.substring("fp", 1 + 6 * i, 6)), 16, 10).cast("long").bitwiseXOR(F.conv(F.hex(F.substring("stays_fp", 1 + 6 * i, 6)), 16, 10).cast("long"))) for i in range(4)]
-    apart = part8[0] + part8[1] + part8[2] + part8[3]
-    gone = g.filter(F.col("key") != F.col("stays.key"))
-    return gone.select("doc_id", F.col("stays.doc_id").alias("duplicate_of"), apart.cast("int").alias("distance"))
-
-
-def keep_first(docs: DataFrame, cell_rows: int = CELL_ROWS) -> DataFrame:
-    """The documents without later copies, with the columns they came with."""
+    prints = common.written(_prints(docs).unionByName(docs.filter("text is null").select("doc_id", common.row_key().alias("key"), F.lit(None).cast("binary").alias("fp"))))
+    classes = _classes(prints, cell_rows)
+    own = prints.select("fp", "doc_id").filter("fp is not null").join(common.side(classes), "fp")
+    names = common.written(own.groupBy("root").agg(F.min("doc_id").alias("class_id")))
+    named = common.written(classes.join(names, "root").select("fp", "class_id", "links", F.lit(True).alias("grouped")))
+    joined = prints.select("fp", "doc_id").join(common.side(named), "fp", "left")
+    return joined.select("doc_id", F.when(F.col("grouped"), F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"), F.coalesce("links", F.lit(0)).cast("long").alias("links"))
+
+
+def keep_first(docs: DataFrame, origin: DataFrame | None = None, cell_rows: int = CELL_ROWS) -> DataFrame:
+    """The documents without later copies, with the columns they came with.
+
+    ``origin`` (doc_id, text) has the documents as they came before other steps
+    cut them: then documents are near copies by their texts or by those. An id
+    that is null or has several texts of different fingerprints in ``origin``
+    counts with its text alone.
+    """
     common.tune(docs.sparkSession)
-    prints, groups = _groups(docs, cell_rows)
+    prints = common.written(_prints(docs).filter("fp is not null"))
+    if origin is not None:
+        mine = prints.select("doc_id").distinct()
+        came = origin.select("doc_id", "text").filter("text is not null").join(mine, "doc_id", "left_semi").select("doc_id", fingerprint(F.col("text")).alias("came"))
+        came = came.filter("came is not null").groupBy("doc_id").agg(F.min("came").alias("came"), F.max("came").alias("other")).filter("came = other").select("doc_id", "came")
+        both = prints.join(came, "doc_id", "left").select("doc_id", "key", F.explode(F.array_distinct(F.array("fp", F.coalesce("came", "fp")))).alias("fp"))
+        prints = common.written(both)
+    groups = prints.join(common.side(_classes(prints, cell_rows)), "fp").select("key", "doc_id", "root").distinct()
+    first = F.min(F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", "key")).alias("stays")
+    groups = common.written(groups)
+    best = common.written(groups.groupBy("root").agg(first).select("root", "stays"))
     key, other, copy = common.fresh(docs, "key", "other_key", "copy")
-    gone = common.written(groups.filter(F.col("key") != F.col("stays.key")).select(F.col("key").alias(other)).distinct())
+    gone = common.written(groups.join(common.side(best), "root").filter(F.col("key") != F.col("stays.key")).select(F.col("key").alias(other)).distinct())
     kept = docs.withColumn(key, common.row_key()).join(common.side(gone), F.col(key) == F.col(other), "left_anti")
-    again = prints.groupBy("key").count().filter("count > 1").select(F.col("key").alias(other))
+    again = common.written(_prints_again(docs, other))
     if again.limit(1).count():
-        marked = kept.join(again, F.col(key) == F.col(other), "left")
-        order = Window.partitionBy(key).orderBy(F.lit(1))
+        marked = kept.join(common.side(again), F.col(key) == F.col(other), "left")
+        order = Window.partitionBy(key).orderBy(*[F.col(c).asc_nulls_first() for c in docs.columns])
         one = marked.filter(F.col(other).isNotNull()).withColumn(copy, F.row_number().over(order)).filter(F.col(copy) == 1).drop(copy)
         kept = marked.filter(F.col(other).isNull()).union(one).drop(other)
     return kept.drop(key)
 
 
+def _prints_again(docs: DataFrame, name: str) -> DataFrame:
+    """Keys of the documents with text that are listed more than once."""
+    return docs.filter("text is not null").groupBy(common.row_key().alias(name)).count().filter("count > 1").select(name)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return duplicates(common.table(spark, sf_dir, "documents"))
+    return near_copies(common.table(spark, sf_dir, "documents"))

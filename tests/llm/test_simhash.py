@@ -56,12 +56,32 @@ def test_groups_match_brute_force(spark):
     for _ in range(len(texts)):
         root = [min(root[j] for j in np.flatnonzero(near[i])) for i in range(len(texts))]
     docs = documents(spark, texts)
-    gone = {r["doc_id"]: r for r in simhash.duplicates(docs).collect()}
-    assert set(gone) == {i for i in range(len(texts)) if root[i] != i}
-    d = _distances(texts)
-    assert all(r["duplicate_of"] == root[i] and r["distance"] == d[i, root[i]] for i, r in gone.items())
+    for cell_rows in (simhash.CELL_ROWS, 30):
+        got = {r["doc_id"]: (r["class_id"], r["links"]) for r in simhash.near_copies(docs, cell_rows).collect()}
+        assert got == {i: (root[i], int(near[i].sum()) - 1) for i in range(len(texts))}
     kept = simhash.keep_first(docs)
-    assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == set(range(len(texts))) - set(gone)
+    assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == {i for i in range(len(texts)) if root[i] == i}
+
+
+def test_a_hot_cell_is_cut_and_loses_nothing(spark):
+    # One word in front of 120 others: two thirds of the fingerprints lie close together in every segment.
+    texts = _near(3, 240, 1) + _near(4, 120, 40)
+    fps, _ = simhash.fingerprints(pa.array(texts))
+    uniq = np.unique(fps, axis=0)
+    d = np.bitwise_count(uniq[:, None] ^ uniq[None]).sum(2)
+    prints = spark.createDataFrame([(i, bytearray(f.tobytes())) for i, f in enumerate(uniq)], "fid long, fp binary")
+    got = simhash.pairs(prints, len(uniq), 20).collect()
+    assert len(got) == len({(r["a"], r["b"]) for r in got}) == int((np.triu(d <= simhash.RADIUS, 1)).sum())
+
+
+def test_copies_by_the_texts_as_they_came(spark):
+    words = [f"w{i}" for i in range(90)]
+    a, b = " ".join(words), " ".join([*words[:88], "x", "y"])
+    now = documents(spark, [a, "x y", "other words of one kind", "w0 w1 cut", "x y"], [1, 2, 3, 4, None])
+    came = spark.createDataFrame([(1, a), (2, b), (3, "other words of one kind"), (4, a), (4, "something else"), (None, a)], "doc_id long, text string")
+    # Id 4 came with two texts and the null id is nobody's: both count as they are now.
+    assert {r["doc_id"] for r in simhash.keep_first(now, came).collect()} == {None, 3, 4}
+    assert {r["doc_id"] for r in simhash.keep_first(now).collect()} == {None, 1, 3, 4}
 
 
 def test_odd_rows(odd, none):
@@ -72,10 +92,17 @@ def test_odd_rows(odd, none):
     # The null id comes first among equal texts; null and blank texts always stay.
     assert (None, line) in rows and (4, line) not in rows
     assert rows.count((None, None)) == 1 and (1, None) in rows and (2, "") in rows and (3, "  \n\t") in rows
-    assert simhash.duplicates(none).count() == 0 and simhash.keep_first(none).count() == 0
+    assert simhash.near_copies(none).count() == 0 and simhash.keep_first(none).count() == 0
+    got = {(r["doc_id"], r["class_id"], r["links"]) for r in simhash.near_copies(odd).collect()}
+    # The line, its copy, which is listed twice but one document, and the line behind others (8) are near copies.
+    assert {(None, 4, 2), (4, 4, 2), (8, 4, 2), (1, 1, 0), (2, 2, 0), (3, 3, 0), (None, None, 0), (7, 7, 0)} <= got
+    assert simhash.near_copies(odd).count() == odd.count()
 
 
 def test_a_repeated_row_stays_once(spark):
-    docs = documents(spark, ["alpha beta gamma delta", "alpha beta gamma delta", "other words entirely here now"], [1, 1, 2])
-    assert sorted(r["doc_id"] for r in simhash.keep_first(docs).collect()) == [1, 2]
-    assert simhash.duplicates(docs).count() == 0
+    rows = [(1, "alpha beta gamma delta", 3), (1, "alpha beta gamma delta", 2), (2, "other words entirely here now", 1), (1, "alpha beta gamma delta", None), (5, None, 1), (5, None, 1)]
+    for order in (rows, rows[::-1]):
+        docs = spark.createDataFrame(order, "doc_id long, text string, n_chars long").repartition(3)
+        # The first by the other columns stays; null text is no copy of anything.
+        assert sorted(map(repr, map(tuple, simhash.keep_first(docs).collect()))) == sorted(map(repr, [(1, "alpha beta gamma delta", None), (2, "other words entirely here now", 1), (5, None, 1), (5, None, 1)]))
+        assert {(r["doc_id"], r["class_id"], r["links"]) for r in simhash.near_copies(docs).collect()} == {(1, 1, 0), (2, 2, 0), (5, 5, 0)}
