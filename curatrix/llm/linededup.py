@@ -40,6 +40,8 @@ from . import common
 from .textarrays import SPACED, column, hashes, mix64, slices, words
 
 FREQ_BITS = 20
+#: Distinct sets whose prefix words a task joins, about.
+SHARD_SETS = 1 << 20
 _FREQ_BLOCK = 1 << 16
 _MASK42 = np.uint64((1 << 42) - 1)
 
@@ -256,26 +258,6 @@ def _joiner(spread: int):
     return join
 
 
-def _ranks(it):
-    """Places of a partition's sets with their rank: 1 is a set's first line; the rows of a repeated document share a rank."""
-    t = pa.Table.from_batches(list(it)) if (it := list(it)) else None
-    if t is None or not len(t):
-        return
-    doc = t["doc"].combine_chunks()
-    valid = doc.is_valid().to_numpy(zero_copy_only=False)
-    s, key, line = (t[c].to_numpy() for c in ("s", "key", "line"))
-    ids = pc.rank(doc, sort_keys="ascending", null_placement="at_start", tiebreaker="dense").to_numpy()
-    o = np.lexsort((line, key, ids, s))
-    s2, same = s[o], np.zeros(len(o), bool)
-    same[1:] = (s2[1:] == s2[:-1]) & (ids[o][1:] == ids[o][:-1]) & (key[o][1:] == key[o][:-1]) & (line[o][1:] == line[o][:-1])
-    lead = np.r_[True, s2[1:] != s2[:-1]]
-    step = np.cumsum(~same)
-    rank = step - step[np.flatnonzero(lead)[np.cumsum(lead) - 1]] + 1
-    for lo in range(0, len(o), 1 << 16):
-        at = pa.array(o[lo : lo + (1 << 16)])
-        yield pa.RecordBatch.from_arrays([pa.array(s).take(at), doc.take(at), pa.array(key).take(at), pa.array(line).take(at), pa.array(rank[lo : lo + (1 << 16)].astype(np.int32))], ["s", "doc", "key", "line", "rank"])
-
-
 def removals(docs: DataFrame) -> DataFrame:
     """(key, lines): the numbers of the lines that go, per document key."""
     spark = common.tune(docs.sparkSession)
@@ -283,7 +265,11 @@ def removals(docs: DataFrame) -> DataFrame:
     id_type = docs.schema["doc_id"].dataType.simpleString()
     surveyed = common.written(texts.mapInArrow(common.lean(_survey), f"s long, doc {id_type}, key long, line int, block int, counts binary"))
     level = spark.sparkContext.broadcast(frequencies(surveyed))
-    shards = max(12, common.parts(spark))
+    places = surveyed.filter("s is not null").select("s", "doc", "key", "line")
+    place = F.struct(F.col("doc").isNotNull().alias("known"), "doc", "key", "line")
+    # Minimum and maximum are aggregated before they are shuffled, however many copies a line has; the rows of a repeated document are one place.
+    firsts = common.written(places.groupBy("s").agg(F.min(place).alias("f"), F.max(place).alias("l")))
+    shards = max(12, common.parts(spark), firsts.count() // SHARD_SETS)
 
     def index(it):
         for batch in it:
@@ -299,12 +285,9 @@ def removals(docs: DataFrame) -> DataFrame:
 
     found = common.written(_candidate_pairs(texts, index, shards))
     common.release(spark)
-    places = surveyed.filter("s is not null").select("s", "doc", "key", "line").repartition(shards, "s")
-    placed = common.written(places.mapInArrow(common.lean(_ranks), f"s long, doc {id_type}, key long, line int, rank int"))
-    common.release(spark)
-    confirmed = _confirmed(texts, found, placed)
-    again = placed.filter("rank > 1").select("key", "line")
-    gone = again.union(placed.filter("rank = 1").join(confirmed, "s", "left_semi").select("key", "line"))
+    confirmed = _confirmed(texts, found, firsts).withColumn("all", F.lit(True))
+    marks = common.written(firsts.join(confirmed, "s", "left").filter(F.col("all") | (F.col("f") != F.col("l"))).select("s", "f", "all"))
+    gone = places.join(common.side(marks), "s").filter(F.coalesce("all", F.lit(False)) | (place != F.col("f")))
     return gone.groupBy("key").agg(F.sort_array(F.collect_set("line")).alias("lines"))
 
 
@@ -314,7 +297,7 @@ def _candidate_pairs(texts: DataFrame, index, shards: int) -> DataFrame:
     return entries_.mapInArrow(common.lean(_joiner(shards)), _PAIR_BLOB).repartition(shards, "part").mapInArrow(common.lean(_gather), "a long, b long, gap int")
 
 
-def _confirmed(texts: DataFrame, found: DataFrame, placed: DataFrame) -> DataFrame:
+def _confirmed(texts: DataFrame, found: DataFrame, firsts: DataFrame) -> DataFrame:
     """(s): the sets that are similar to one with an earlier first line.
 
     A set needs one such partner, so the earlier candidate of closest signature
@@ -322,7 +305,7 @@ def _confirmed(texts: DataFrame, found: DataFrame, placed: DataFrame) -> DataFra
     their other candidates compared, after a filter by longer signatures.
     """
     some = found.select(F.col("a").alias("s")).union(found.select(F.col("b").alias("s"))).distinct()
-    heads = common.written(placed.filter("rank = 1").join(some, "s", "left_semi").select("s", "doc", "key", "line").dropDuplicates(["s"]))
+    heads = common.written(firsts.join(some, "s", "left_semi").select("s", "f.doc", "f.key", "f.line"))
     both = found.join(heads.toDF("a", "da", "ka", "la"), "a").join(heads.toDF("b", "db", "kb", "lb"), "b")
     at = lambda x: F.struct(F.col(f"d{x}").isNotNull(), f"d{x}", f"k{x}", f"l{x}")
     swap = at("a") < at("b")

@@ -97,3 +97,12 @@ def test_odd_rows(spark, odd, none):
     assert kept.columns == odd.columns and 4 not in {r["doc_id"] for r in kept.collect()}
     assert {r["doc_id"]: r["n_chars"] for r in kept.collect()}[8] == 4
     assert linededup.clean(none).count() == 0 and linededup.keep_lines(none).count() == 0
+
+
+def test_many_copies_of_one_line(spark):
+    """50,000 documents, a third of them listed twice, that share a line: all but the first lose it."""
+    from pyspark.sql import functions as F
+
+    docs = spark.range(50_000).select((F.lit(50_000) - F.col("id")).alias("doc_id"), F.concat(F.lit("all of these share this one\n"), F.sha2(F.col("id").cast("string"), 256)).alias("text"))
+    got = linededup.clean(docs.union(docs.filter("doc_id % 3 = 1"))).groupBy("removed_lines", F.regexp_count("text", F.lit("\n")).alias("n")).agg(F.count("*").alias("rows"), F.min("doc_id").alias("first")).collect()
+    assert sorted(map(tuple, got)) == [(0, 1, 2, 1), (1, 0, 66_665, 2)]
