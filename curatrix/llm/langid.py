@@ -37,8 +37,8 @@ _ROWS = 64
 
 
 def _letters() -> np.ndarray:
-    out = np.full(0x10000, 32, np.uint32)
-    for i in range(0x10000):
+    out = np.full(0x110000, 32, np.uint32)
+    for i in range(0x110000):
         c = chr(i)
         if c.isalpha():
             low = c.lower()
@@ -56,7 +56,7 @@ def counts(texts: list[bytes]) -> np.ndarray:
     coded = [t.decode("utf-8", "replace").encode("utf-32-le") for t in texts]
     sizes = np.array([len(c) // 4 + 1 for c in coded])
     x = np.frombuffer(b" \0\0\0".join(coded) + b" \0\0\0", np.uint32)
-    x = np.where(x < 0x10000, _table[0][np.minimum(x, 0xFFFF)], x)
+    x = _table[0][x]
     row = np.repeat(np.arange(len(texts), dtype=np.int64), sizes)
     space = x == 32
     keep = ~(space & np.r_[True, space[:-1]])

@@ -1,5 +1,9 @@
 from __future__ import annotations
 
+import math
+import re
+from collections import Counter
+
 import numpy as np
 
 from curatrix.llm import langid
@@ -25,6 +29,45 @@ def test_counts_match_a_plain_count():
     assert np.array_equal(langid.counts([text.encode(), b"", b"zz"])[0], got)
 
 
+def _bucket(gram: str) -> int:
+    """The dimension of an n-gram, one character after another."""
+    m, h = 0xFFFFFFFF, ord(gram[0]) * 0x9E3779B1 & 0xFFFFFFFF
+    for c in gram[1:]:
+        h = ((h ^ (h >> 15)) * 0x85EBCA6B + ord(c) * 0xC2B2AE35) & m
+    return (h * 0x27D4EB2F & m) >> (32 - langid.BITS)
+
+
+def _plain_counts(text: str) -> dict[int, int]:
+    letters = re.sub(" +", " ", "".join(low if len(low := c.lower()) == 1 and c.isalpha() else c if c.isalpha() else " " for c in text)).strip() + " "
+    letters = (" " if text and not text[0].isalpha() else "") + letters if letters.strip() else ""
+    letters = letters.removeprefix(" ")
+    return dict(Counter(_bucket(letters[i : i + n]) for n in (1, 2, 3) for i in range(len(letters) - n + 1) if n > 1 or letters[i] != " "))
+
+
+def test_against_a_plain_dictionary_version(spark):
+    """Counts, document frequencies, weights, cosines and rejection over whole texts, without arrays."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").filter("length(text) < 3000")
+    rows = [(r["doc_id"], r["text"], r["lang"]) for r in docs.collect()] + [(-1, "", None), (-2, "\U0001F600 \U0001F601!", None), (-3, None, None), (-4, "\U00010400\U00010401", None)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(table)
+    tf = {i: _plain_counts(t or "") for i, t, _ in rows}
+    df = Counter(d for c in tf.values() for d in c)
+    assert all(abs(model.idf[d] - (math.log((1 + len(rows)) / (1 + n)) + 0.1)) < 1e-5 for d, n in df.items())
+    got = {r["doc_id"]: r for r in langid.identify(table).collect()}
+    assert len(got) == len(rows)
+    for i, c in tf.items():
+        w = {d: math.log1p(n) * (math.log((1 + len(rows)) / (1 + df[d])) + 0.1) for d, n in c.items()}
+        length = math.sqrt(sum(x * x for x in w.values())) or 1.0
+        sims = [sum(x * float(cent[d]) for d, x in w.items()) / length for cent in model.centroids]
+        best = max(range(len(sims)), key=lambda k: (sims[k], -k))
+        assert abs(got[i]["similarity"] - sims[best]) < 2e-4, i
+        floor = float(model.floor[min(15, int(math.log2(max(1, sum(c.values())))))])
+        if abs(sims[best] - floor) > 1e-5:
+            assert got[i]["accepted"] == (bool(c) and sims[best] >= floor)
+            assert got[i]["lang"] == (model.langs[best] if got[i]["accepted"] else None) or sorted(sims)[-1] - sorted(sims)[-2] < 1e-5
+    assert got[-2]["similarity"] == 0 and not got[-2]["accepted"]
+
+
 def test_several_centroids_and_rejection(spark):
     en = [f"the house and the garden of the family number {i} were quiet in the morning light" for i in range(30)]
     fr = [f"la maison et le jardin de la famille numero {i} étaient calmes dans la lumière du matin" for i in range(30)]
