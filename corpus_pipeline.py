@@ -1,10 +1,17 @@
 """The corpus pipeline: each stage works on all that the stage before it kept.
 
 Documents whose language is not recognised go; repeated lines go; of near
-copies one document stays; passages that repeat across documents go but for
+copies, by the texts as they came or as they are now, one document stays;
+passages that repeat across documents go but for
 their first occurrence; what is left is packed into length buckets. Every
 stage but the last returns documents with the columns it was given; ``n_chars``
 follows the text.
+
+Defined results: null, empty and letterless texts are rejected by the first
+stage. Rows with equal id and text are one document, and one of them stays;
+rows with equal id but other text are documents each. A null id stands before
+all others; ids may be of any type that can be ordered. Texts are never cut
+short. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -25,8 +32,12 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies."""
-    return simhash.keep_first(docs)
+    """One document of each group of near copies.
+
+    Without its repeated lines a near copy is a fragment that resembles nothing:
+    documents are compared as they came, too.
+    """
+    return simhash.keep_first(docs, common.table(spark, sf_dir, "documents"))
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,10 +57,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents, each stage's result written and read again."""
+    """All stages over the documents, each stage's result written and read again; what a stage wrote on its way is deleted then."""
     docs = common.table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
             docs = common.written(docs)
+            common.clear(spark, docs)
     return docs
