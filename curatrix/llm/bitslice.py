@@ -1,7 +1,7 @@
-"""Exact top-k search by cosine with a bit-sliced index; every row is a query.
+"""Exact top-k search by cosine with a bit-sliced index.
 
-Rows are cut into shards, and each shard is met by every block of queries; a
-task holds one shard and one block. A shard's index keeps, for each attribute,
+Rows are cut into shards; a task builds the index of one shard, once, and
+streams the queries past it. A shard's index keeps, for each attribute,
 its quantised values as bit slices: slice b of attribute a is the bitmap of
 rows whose value has bit b set. A query's weights are quantised too, and its
 score is the sum of its attributes' slices, shifted by the set bits of the
@@ -14,12 +14,17 @@ Rows below the k-th quantised score by more than twice the bound cannot be
 among the top k; all others, the boundary rows, are scored exactly. Shards'
 tops are merged by (score descending, id ascending).
 
+Every row is searched, and each row is shuffled once; a query goes to every
+shard, so the work is queries x rows.
+
 Defined results: a row is not its own neighbour, nor is a row of the same id.
 Scores are cosines rounded to 8 decimals; ties go to the lower id. The zero
 vector has cosine 0 with all. Rows whose id, vector or any element is null,
 NaN or infinite, or whose length isn't the most frequent one (of equally
-frequent ones, the longest), are neither queries nor results. Rows with one
-id count once, with the least vector. With fewer than k others, all are returned. An empty
+frequent ones, the longest), are neither queries nor results; any finite
+element is usable, however large or small. Rows with one id count once, with
+the least vector; they are a query when any of them is. Ids may be of any
+type that can be ordered. With fewer than k others, all are returned. An empty
 table gives an empty result. Extra columns are ignored.
 """
 
@@ -27,25 +32,50 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
 
 K = 10
-SHARD_ROWS = 1 << 15
-BLOCK_ROWS = 1 << 12
+#: Rows of a shard, at most but for the hash's spread; and so few that smaller shards would not be worth a task.
+SHARD_ROWS, LEAST_ROWS = 1 << 15, 1 << 10
 X_BITS, Q_BITS = 6, 6
 
 
-def vectors(rows: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
-    """The usable rows as (id, v): no nulls, finite, of the most frequent length; of rows with one id, that of the least vector."""
-    good = rows.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v")).filter("v is not null and id is not null and size(v) > 0")
-    good = good.filter(F.forall("v", lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) < 1e300), F.lit(False))))
+def vectors(rows: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding") -> tuple[DataFrame, DataFrame | None]:
+    """The usable rows as (id, v), written: no nulls, finite, of the most frequent length; of rows with one id, that of the least vector.
+
+    ``id`` is a number of the ids' order, and the second table, None for
+    integer ids, has the ids (id, number).
+    """
+    names = common.id_numbers(rows, id_col)
+    good = rows.select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("v")).filter("v is not null and id is not null and size(v) > 0")
+    good = good.filter(F.forall("v", lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))), F.lit(False))))
     length = good.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).limit(1).collect()
-    if not length:
+    if length:
+        good = good.filter(F.size("v") == length[0]["n"])
+    good = good.groupBy("id").agg(F.min("v").alias("v"))
+    if names is not None:
+        good = good.join(names, "id").select(F.col("number").alias("id"), "v")
+    return common.written(good.select(F.col("id").cast("long"), "v")), names
+
+
+def renamed(found: DataFrame, names: DataFrame | None) -> DataFrame:
+    """``found`` (vec_id, rank, neighbor_id, score) with the ids that the numbers stand for."""
+    if names is None:
+        return found
+    left, right = names.toDF("left_id", "vec_id"), names.toDF("right_id", "neighbor_id")
+    return found.join(left, "vec_id").join(right, "neighbor_id").select(F.col("left_id").alias("vec_id"), "rank", F.col("right_id").alias("neighbor_id"), "score")
+
+
+def asking(rows: DataFrame, good: DataFrame, names: DataFrame | None, queries: Column | None, id_col: str) -> DataFrame:
+    """The rows of ``good`` that are queries: all, or those whose id is that of a row for which ``queries`` holds."""
+    if queries is None:
         return good
-    return good.filter(F.size("v") == length[0]["n"]).groupBy("id").agg(F.min("v").alias("v"))
+    wanted = rows.filter(queries).select(F.col(id_col).alias("id")).distinct()
+    wanted = wanted.select(F.col("id").cast("long")) if names is None else wanted.join(names, "id").select(F.col("number").alias("id"))
+    return good.join(wanted, "id", "left_semi")
 
 
 def matrix(col) -> np.ndarray:
@@ -58,6 +88,9 @@ def matrix(col) -> np.ndarray:
 
 
 def unit(x: np.ndarray) -> np.ndarray:
+    """Rows of length 1. Scaling by powers of two first, which is exact, keeps squares from overflowing or vanishing."""
+    if x.size:
+        x = np.ldexp(x, -np.frexp(np.abs(x).max(1, keepdims=True))[1])
     return x / np.where((n := np.sqrt((x * x).sum(1, keepdims=True))) > 0, n, 1)
 
 
@@ -165,43 +198,43 @@ class Index:
         return self.ids[at[o]], exact[o]
 
 
-def search(rows: DataFrame, k: int = K, id_col: str = "vec_id", vec_col: str = "embedding", shard_rows: int = SHARD_ROWS, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """(vec_id, rank, neighbor_id, score): the k nearest other rows of every row, exactly."""
+def search(rows: DataFrame, k: int = K, id_col: str = "vec_id", vec_col: str = "embedding", queries: Column | None = None, shard_rows: int = SHARD_ROWS) -> DataFrame:
+    """(vec_id, rank, neighbor_id, score): the k nearest other rows, of all rows, of every row for which ``queries`` holds (default: of every row)."""
     spark = common.tune(rows.sparkSession)
-    good = common.written(vectors(rows, id_col, vec_col))
+    good, names = vectors(rows, id_col, vec_col)
     n = good.count()
-    shards, blocks = max(1, -(-n // shard_rows)), max(1, -(-n // block_rows))
-    own = good.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int")).withColumn("block", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(blocks)).cast("int"))
-    home = own.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), "shard", "id", "v")
-    asks = own.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), "block", "id", "v")
-
-    def meet(home_: pa.Table, asks_: pa.Table) -> pa.Table:
-        ids, near, scores, ranks = [], [], [], []
-        if len(home_) and len(asks_):
-            hid = home_["id"].to_numpy()
-            o = np.argsort(hid, kind="stable")
-            index = Index(hid[o], unit(matrix(home_["v"]))[o])
-            for qid, q in zip(asks_["id"].to_pylist(), unit(matrix(asks_["v"]))):
-                found, score = index.top(q, qid, k)
-                ids.append(np.full(len(found), qid))
-                near.append(found)
-                scores.append(score)
-        cat = lambda x, t: np.concatenate(x).astype(t) if x else np.zeros(0, t)
-        return pa.table({"vec_id": cat(ids, np.int64), "neighbor_id": cat(near, np.int64), "score": cat(scores, np.float64)})
-
-    part = home.groupBy("shard", "block").cogroup(asks.groupBy("shard", "block")).applyInArrow(meet, "vec_id long, neighbor_id long, score double")
+    # As many shards as there are tasks at least, so that none waits for another.
+    shards = max(1, -(-n // shard_rows), min(common.parts(spark), -(-n // LEAST_ROWS)))
+    home = good.select(F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int").alias("shard"), F.lit(False).alias("asks"), "id", "v")
+    asks = asking(rows, good, names, queries, id_col)
+    asks = asks.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(True).alias("asks"), "id", "v")
+
+    def meet(it):
+        index = None
+        for _, home_, asks_ in common.met(it):
+            if home_ is not None:
+                ids = home_["id"].to_numpy()
+                o = np.argsort(ids, kind="stable")
+                index = Index(ids[o], unit(matrix(home_["v"]))[o])
+                continue
+            qids = asks_.column("id").to_numpy()
+            got = [index.top(q, qid, k) for qid, q in zip(qids, unit(matrix(asks_.column("v"))))]
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qids, [len(g[0]) for g in got])), pa.array(np.concatenate([g[0] for g in got])), pa.array(np.concatenate([g[1] for g in got]))], ["vec_id", "neighbor_id", "score"])
+
+    part = common.placed(home.union(asks), "shard", shards, F.col("asks")).mapInArrow(common.lean(meet), "vec_id long, neighbor_id long, score double")
     order = Window.partitionBy("vec_id").orderBy(F.desc("score"), "neighbor_id")
-    return part.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("vec_id", "rank", "neighbor_id", "score")
+    return renamed(part.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("vec_id", "rank", "neighbor_id", "score"), names)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search(common.table(spark, sf_dir, "embeddings"))
+    """The neighbours of every row whose id is divisible by 100, among all rows."""
+    return search(common.table(spark, sf_dir, "embeddings"), queries=F.col("vec_id") % 100 == 0)
 
 
 ORACLE = f"""
 with v as (select vec_id, cast(embedding as double[]) as v from embeddings),
 u as (select vec_id, v, sqrt(list_inner_product(v, v)) as n from v),
-s as (select a.vec_id, b.vec_id as neighbor_id, round(list_inner_product(a.v, b.v) / (a.n * b.n), 8) as score from u a join u b on a.vec_id <> b.vec_id),
+s as (select a.vec_id, b.vec_id as neighbor_id, round(list_inner_product(a.v, b.v) / (a.n * b.n), 8) as score from u a join u b on a.vec_id <> b.vec_id where a.vec_id % 100 = 0),
 r as (select *, row_number() over (partition by vec_id order by score desc, neighbor_id) as rank from s)
 select vec_id, cast(rank as integer) as rank, neighbor_id, score from r where rank <= {K}
 """

@@ -26,12 +26,12 @@ def brute(rows, k):
     return out
 
 
-@pytest.mark.parametrize("shard_rows,block_rows,k", [(1 << 15, 1 << 12, 10), (64, 50, 3)])
-def test_against_brute_force(spark, shard_rows, block_rows, k):
+@pytest.mark.parametrize("shard_rows,k", [(1 << 15, 10), (64, 3)])
+def test_against_brute_force(spark, shard_rows, k):
     rng = np.random.default_rng(3)
     rows = [(int(i), [float(a) for a in v]) for i, v in zip(rng.permutation(220), rng.normal(size=(220, 12)))]
     rows += [(1000 + i, rows[i][1]) for i in range(5)] + [(2000, [0.0] * 12)]
-    got = {(r["vec_id"], r["rank"]): (r["neighbor_id"], r["score"]) for r in bitslice.search(frame(spark, rows), k, shard_rows=shard_rows, block_rows=block_rows).collect()}
+    got = {(r["vec_id"], r["rank"]): (r["neighbor_id"], r["score"]) for r in bitslice.search(frame(spark, rows), k, shard_rows=shard_rows).collect()}
     want = brute(rows, k)
     assert len(got) == len(want)
     for i, r, j, s in want:
@@ -42,7 +42,7 @@ def test_against_brute_force(spark, shard_rows, block_rows, k):
 
 def test_many_ties_go_to_the_lower_id(spark):
     rows = [(i, [1.0, 0.0, 0.5]) for i in range(40)]
-    got = bitslice.search(frame(spark, rows), 4, shard_rows=10, block_rows=7).collect()
+    got = bitslice.search(frame(spark, rows), 4, shard_rows=10).collect()
     assert {r["vec_id"]: None for r in got}.keys() == set(range(40))
     for r in got:
         others = [i for i in range(40) if i != r["vec_id"]]
@@ -74,3 +74,31 @@ def test_against_sql(spark, tiny, oracle):
     from tests.compare import differences
 
     assert not differences(bitslice.query(spark, tiny), bitslice.ORACLE, oracle)
+
+
+def test_huge_and_tiny_elements(spark):
+    rows = [(1, [2e300, 1.0]), (2, [1.7e308, 1.7e308]), (3, [1e-300, 0.0]), (4, [0.0, 3.0]), (5, [-5e-324, 0.0])]
+    wide = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {(r["vec_id"], r["neighbor_id"]): r["score"] for r in bitslice.search(wide, 10).collect()}
+    half = round(2**-0.5, 8)
+    assert len(got) == 20
+    assert (got[1, 2], got[1, 3], got[1, 4], got[2, 4], got[3, 5]) == (half, 1.0, 0.0, half, -1.0)
+
+
+def test_ids_of_any_type(spark):
+    rng = np.random.default_rng(5)
+    rows = [(int(i), [float(a) for a in v]) for i, v in zip(rng.permutation(60), rng.normal(size=(60, 6)))]
+    name = lambda i: f"row {i:04d}"
+    texts = spark.createDataFrame([(name(i), v) for i, v in rows] + [(None, rows[0][1])], "vec_id string, embedding array<float>")
+    want = {(name(r["vec_id"]), r["rank"], name(r["neighbor_id"]), r["score"]) for r in bitslice.search(frame(spark, rows), 4).collect()}
+    assert {tuple(r) for r in bitslice.search(texts, 4, shard_rows=20).collect()} == want
+
+
+def test_some_rows_as_queries_and_every_row_searched(spark):
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(6)
+    rows = [(i, [float(a) for a in v]) for i, v in enumerate(rng.normal(size=(250, 5)))]
+    every = {tuple(r) for r in bitslice.search(frame(spark, rows), 5).collect()}
+    some = {tuple(r) for r in bitslice.search(frame(spark, rows), 5, queries=F.col("vec_id") % 100 == 0, shard_rows=40).collect()}
+    assert some == {r for r in every if r[0] % 100 == 0} and len(some) == 15
