@@ -1,48 +1,55 @@
-"""Approximate nearest neighbours by cosine with a hierarchical k-means tree; every row is a query.
-
-**Tree.** Unit vectors are split by k-means, level by level. The upper levels
-are fitted by Lloyd rounds over all rows, each round one distributed pass,
-until a cell holds about ``CELL_ROWS`` rows; a cell then grows its own lower
-levels down to leaves of ``LEAF_ROWS``.
-
-**Search** is best bin first: a priority queue holds the branches not taken,
-nearest centroid first, and leaves are scanned in that order. Over the upper
-levels it yields a query's ``probes`` nearest cells; in each of them it scans
-``visits`` leaves. The cells' best rows are merged.
-
-**Calibration.** ``probes`` and ``visits`` are not set but found: for a sample
+"""Approximate nearest neighbours by cosine with a hierarchical k-means tree.
+
+**Tree.** Unit vectors are split by k-means, level by level, ``BRANCH`` ways,
+down to leaves of ``LEAF_ROWS`` rows. The tree is fitted on a sample of at most
+about ``SAMPLE_ROWS`` rows and ``SAMPLE_VALUES`` vector elements (rows of least
+hash); every row is then indexed: it goes to the leaf of the nearest centroid
+at each level. Leaves that are neighbours in the tree share a shard; a leaf
+with more rows than a shard holds is split over several by hash.
+
+**Search** is best bin first: one priority queue over all levels holds the
+branches not taken, nearest centroid first, and leaves are visited in that
+order. A query is sent once to each shard that has leaves it visits, with
+their numbers; a shard's task lays out its leaves once and streams the queries
+past them. The shards' best rows are merged.
+
+**Calibration.** The number of leaf visits is not set but found: for a sample
 of queries the true neighbours are computed by brute force over all rows, and
-cells and leaf visits are widened until the sample's recall reaches
-``target``. The widest setting visits all leaves of all cells, which is exact.
+visits are widened leaf by leaf until the sample's recall, less two standard
+errors, reaches ``target``. Visiting all leaves is exact.
 
 Defined results: as in the exact search (``bitslice``): unusable rows are left
 out, of rows with one id that of the least vector counts, a row is not its own
 neighbour, scores are cosines rounded to 8 decimals and ties go to the lower
-id. With fewer than k others, all that were visited are returned. An empty
-table gives an empty result. Extra columns are ignored.
+id; ids may be of any type that can be ordered. With fewer than k others, all
+that were visited are returned. An empty table gives an empty result. Extra
+columns are ignored.
 """
 
 from __future__ import annotations
 
 import heapq
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
-from .bitslice import matrix, unit, vectors
+from .bitslice import asking, matrix, renamed, unit, vectors
+from .textarrays import mix64
 
 K = 10
-CELL_ROWS = 8192
-LEAF_ROWS = 128
+LEAF_ROWS = 64
 BRANCH = 16
 TARGET = 0.96
+#: What the tree is fitted on, at most (about).
+SAMPLE_ROWS, SAMPLE_VALUES = 1 << 16, 1 << 22
 #: Queries whose true neighbours calibrate the search.
-SAMPLE = 256
-_ROUNDS = 4
-_LEVELS = (2, 4, 8, 16, 32, 64, 128, 1 << 30)
+CALIBRATION = 256
+#: Rows of a shard, at most; and so few that smaller shards would not be worth a task.
+SHARD_ROWS, LEAST_ROWS = 1 << 15, 1 << 10
 
 
 class Tree:
@@ -107,9 +114,9 @@ def _lloyd(x: np.ndarray, k: int, rounds: int = 5) -> np.ndarray:
     return c
 
 
-def grow(x: np.ndarray, leaf_rows: int = LEAF_ROWS) -> tuple[Tree, list[np.ndarray]]:
-    """A cell's tree and the rows of each of its leaves."""
-    tree, rows = Tree(x.shape[1]), []
+def grow(x: np.ndarray, leaf_rows: int = LEAF_ROWS) -> Tree:
+    """The tree of the unit vectors ``x``, leaves numbered depth first: neighbours in number are near in space."""
+    tree = Tree(x.shape[1])
 
     def split(at: np.ndarray, node: int):
         c = _lloyd(x[at], min(BRANCH, -(-len(at) // leaf_rows) + 1))
@@ -120,7 +127,6 @@ def grow(x: np.ndarray, leaf_rows: int = LEAF_ROWS) -> tuple[Tree, list[np.ndarr
             some = at[own == k]
             if len(some) <= leaf_rows or len(used) == 1:
                 kids.append(tree.leaf())
-                rows.append(some)
             else:
                 kids.append(tree.add())
                 split(some, kids[-1])
@@ -128,224 +134,201 @@ def grow(x: np.ndarray, leaf_rows: int = LEAF_ROWS) -> tuple[Tree, list[np.ndarr
 
     if len(x):
         split(np.arange(len(x)), tree.add())
-    return tree, rows
-
-
-def _top(found: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(found) > 4 * k:
-        edge = np.partition(score, len(score) - k)[len(score) - k]
-        found, score = found[score >= edge], score[score >= edge]
-    o = np.lexsort((found, -score))[:k]
-    return found[o], score[o]
-
-
-class Cell:
-    def __init__(self, ids: np.ndarray, x: np.ndarray):
-        o = np.argsort(ids, kind="stable")
-        ids, x = ids[o], x[o]
-        self.tree, rows = grow(x)
-        self.ids, self.x = [ids[r] for r in rows], [np.ascontiguousarray(x[r]) for r in rows]
-
-    def search(self, q: np.ndarray, qid: int, k: int, levels: tuple[int, ...]):
-        """(level number, ids, scores) of the best k at each number of leaf visits."""
-        found, score, seen = [], [], 0
-        bins = self.tree.best_bins(q)
-        for n, level in enumerate(levels):
-            while seen < level and (b := next(bins, None)) is not None:
-                found.append(self.ids[b])
-                score.append(self.x[b] @ q)
-                seen += 1
-            f, s = np.concatenate(found), np.round(np.concatenate(score), 8) + 0.0
-            keep = f != qid
-            f, s = _top(f[keep], s[keep], k)
-            yield n, f, s
-
-
-def plant(rows: DataFrame, n: int, dims: int, cell_rows: int = CELL_ROWS) -> Tree:
-    """The upper levels, by Lloyd rounds over all rows (id, v)."""
-    spark, tree = rows.sparkSession, Tree(dims)
-    tree.add()
-    tree.set(0, np.zeros((1, dims)), [tree.leaf()])
-    sizes = {0: n}
-    while True:
-        wide = {cell: min(BRANCH, -(-size // cell_rows)) for cell, size in sizes.items() if size > cell_rows}
-        if not wide:
-            return tree
-        seeds = _seeds(rows, tree, wide)
-        cents = {cell: np.array(c) for cell, c in seeds.items() if len(c) > 1}
-        for _ in range(_ROUNDS):
-            sums = _sums(rows, tree, cents)
-            cents = {cell: np.stack([sums[cell, k][1] / sums[cell, k][0] if (cell, k) in sums else c[k] for k in range(len(c))]) for cell, c in cents.items()}
-        counts = {key: v[0] for key, v in _sums(rows, tree, cents).items()}
-        place = {kid: (node, k) for node, kids in enumerate(tree.kids) for k, kid in enumerate(kids)}
-        sizes = {}
-        for cell, c in cents.items():
-            used = [k for k in range(len(c)) if (cell, k) in counts]
-            if len(used) < 2:
-                continue  # equal rows: they stay one cell
-            node, k = place[~cell]
-            new = tree.add()
-            kids = [~cell] + [tree.leaf() for _ in used[1:]]
-            tree.set(new, c[used], kids)
-            tree.kids[node][k] = new
-            sizes |= {~kid: counts[cell, u] for kid, u in zip(kids, used)}
-
-
-def _seeds(rows: DataFrame, tree: Tree, wide: dict[int, int]) -> dict[int, list[np.ndarray]]:
-    """For each cell to split, as many of its rows as it gets children: those of least hash."""
-    share = rows.sparkSession.sparkContext.broadcast(tree)
+    return tree
+
+
+def fit(good: DataFrame, n: int, leaf_rows: int = LEAF_ROWS, sample_rows: int = SAMPLE_ROWS, sample_values: int = SAMPLE_VALUES) -> Tree:
+    """A tree grown from about min(sample_rows, sample_values / dimensions) rows (id, v), those of least hash."""
+    dims = len(good.select("v").first()["v"])
+    share = min(1.0, min(sample_rows, sample_values // dims) / n)
+    chosen = good.filter(F.pmod(F.xxhash64("id", F.lit(3)), F.lit(1 << 30)) < share * (1 << 30))
+    x = unit(matrix(chosen.orderBy("id").select("v").toArrow()["v"]))
+    return grow(x if len(x) else np.zeros((1, dims)), leaf_rows)
+
+
+def _truth(rows: DataFrame, ids: np.ndarray, x: np.ndarray, k: int) -> dict[int, list[int]]:
+    """Leaves of the true neighbours of the sampled queries, by brute force over all rows (leaf, id, v)."""
 
     def run(it):
+        best = [(np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64))] * len(ids)
         for batch in it:
-            cell = share.value.assign(unit(matrix(batch.column("v"))))
-            ok = np.flatnonzero(np.isin(cell, list(wide)))
-            yield pa.RecordBatch.from_arrays([pa.array(cell[ok]), *(batch.column(c).take(pa.array(ok)) for c in ("id", "v"))], ["cell", "id", "v"])
-
-    order = Window.partitionBy("cell").orderBy(F.xxhash64("id"), "id")
-    most = F.create_map(*[F.lit(x) for pair in wide.items() for x in pair])
-    found = rows.mapInArrow(run, "cell long, id long, v array<double>").withColumn("n", F.row_number().over(order)).filter(F.col("n") <= most[F.col("cell").cast("int")])
-    out: dict[int, list] = {c: [] for c in wide}
-    for r in found.orderBy("cell", "n").collect():
-        v = unit(np.array([r["v"]]))[0]
-        if not any(np.array_equal(v, u) for u in out[r["cell"]]):
-            out[r["cell"]].append(v)
+            own, leaf, sims = batch.column("id").to_numpy(), batch.column("leaf").to_numpy(), np.round(x @ unit(matrix(batch.column("v"))).T, 8)
+            for i in range(len(ids)):
+                keep = own != ids[i]
+                f, s, b = (np.r_[old, new[keep]] for old, new in zip(best[i], (own, sims[i], leaf)))
+                o = np.lexsort((f, -s))[:k]
+                best[i] = f[o], s[o], b[o]
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, [len(b[0]) for b in best])), *(pa.array(np.concatenate([b[c] for b in best])) for c in range(3))], ["q", "id", "score", "leaf"])
+
+    order = Window.partitionBy("q").orderBy(F.desc("score"), "id")
+    out: dict[int, list[int]] = {int(i): [] for i in ids}
+    for r in rows.mapInArrow(run, "q long, id long, score double, leaf long").withColumn("n", F.row_number().over(order)).filter(F.col("n") <= k).collect():
+        out[r["q"]].append(r["leaf"])
     return out
 
 
-def _sums(rows: DataFrame, tree: Tree, cents: dict[int, np.ndarray]) -> dict[tuple[int, int], tuple[int, np.ndarray]]:
-    """(count, sum) of the rows nearest to each centroid of each cell."""
-    share = rows.sparkSession.sparkContext.broadcast((tree, cents))
+def calibrate(rows: DataFrame, tree: Tree, k: int, target: float, sample: int = CALIBRATION) -> tuple[int, float]:
+    """(visits, recall): the fewest leaf visits whose recall on sampled queries reaches ``target`` by two standard errors.
+
+    A true neighbour is found once its leaf is visited, so widening the visits
+    leaf by leaf only needs each neighbour's leaf and the order of the leaves.
+    """
+    chosen = rows.orderBy(F.xxhash64("id", F.lit(7)), "id").limit(sample).collect()
+    ids, x = np.array([r["id"] for r in chosen]), unit(np.array([r["v"] for r in chosen]))
+    truth = _truth(rows, ids, x, k)
+    found = np.zeros((len(ids), tree.leaves + 1))
+    for i, qid in enumerate(ids):
+        open_ = truth[int(qid)]
+        if not open_:
+            continue
+        missing, of = set(open_), len(open_)
+        for n, leaf in enumerate(tree.best_bins(x[i]), 1):
+            if leaf in missing:
+                missing.discard(leaf)
+                found[i, n] = open_.count(leaf) / of
+            if not missing:
+                break
+    some = np.array([bool(truth[int(i)]) for i in ids])
+    if not some.any():
+        return tree.leaves, 1.0
+    recall = np.cumsum(found[some], axis=1)
+    sure = recall.mean(0) - 2 * recall.std(0) / np.sqrt(some.sum())
+    enough = np.flatnonzero(sure >= target)
+    # Visiting all leaves is exact.
+    visits = max(1, int(enough[0])) if len(enough) else tree.leaves
+    return visits, float(recall.mean(0)[visits])
+
+
+def _scan(ids: np.ndarray, x: np.ndarray, start: np.ndarray, leaves: dict[int, int], qids: np.ndarray, q: np.ndarray, wanted: list[np.ndarray], k: int):
+    """(query, id, score) of at least the k best rows of each query in the leaves it wants; leaf number n has rows start[n] to start[n + 1]."""
+    asked = np.repeat(np.arange(len(qids)), [len(w) for w in wanted])
+    leaf = np.array([leaves.get(b, -1) for w in wanted for b in w.tolist()], np.int64)
+    asked, leaf = asked[leaf >= 0], leaf[leaf >= 0]
+    o = np.argsort(leaf, kind="stable")
+    asked, leaf = asked[o], leaf[o]
+    least = np.full(len(qids), -np.inf)
+    held: list[tuple[np.ndarray, ...]] = []
+    size = 0
+
+    def settle():
+        nonlocal held, size
+        a, f, s = (np.concatenate(c) for c in zip(*held))
+        o = np.lexsort((f, -s, a))
+        a, f, s = a[o], f[o], s[o]
+        first = np.r_[0, np.flatnonzero(a[1:] != a[:-1]) + 1]
+        place = np.arange(len(a)) - np.repeat(first, np.diff(np.r_[first, len(a)]))
+        least[a[place == k - 1]] = s[place == k - 1]
+        keep = place < k
+        held, size = [(a[keep], f[keep], s[keep])], int(keep.sum())
+
+    for n, at in zip(*_runs(leaf)):
+        own, lo, hi = asked[at], start[n], start[n + 1]
+        s = np.round(q[own] @ x[lo:hi].T, 8) + 0.0
+        i, j = np.nonzero((s >= least[own][:, None]) & (qids[own][:, None] != ids[None, lo:hi]))
+        if len(i):
+            held.append((own[i], ids[lo + j], s[i, j]))
+            size += len(i)
+            if size > 1 << 19:
+                settle()
+    if held:
+        settle()
+        yield from held
+
+
+def _runs(x: np.ndarray) -> tuple[np.ndarray, list[slice]]:
+    """Values of a sorted array and where each stands."""
+    cut = np.r_[np.flatnonzero(np.r_[True, x[1:] != x[:-1]]), len(x)] if len(x) else np.zeros(1, np.int64)
+    return x[cut[:-1]], [slice(a, b) for a, b in zip(cut, cut[1:])]
+
+
+def shard_leaves(counts: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """(first shard, number of shards) of each leaf, and how many shards there are; a leaf too large for a shard is split over several."""
+    room = max(1, -(-int(counts.sum()) // shards))
+    first, many, at, free = np.zeros(len(counts), np.int64), np.ones(len(counts), np.int64), -1, 0
+    for leaf, n in enumerate(counts.tolist()):
+        if n > room:
+            many[leaf] = -(-n // room)
+            first[leaf], at, free = at + 1, at + int(many[leaf]), 0
+        else:
+            if at < 0 or n > free:
+                at, free = at + 1, room
+            first[leaf] = at
+            free -= n
+    return first, many, at + 1
+
+
+def search(rows: DataFrame, k: int = K, target: float = TARGET, id_col: str = "vec_id", vec_col: str = "embedding", queries: Column | None = None, leaf_rows: int = LEAF_ROWS, shard_rows: int = SHARD_ROWS, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+    """(vec_id, rank, neighbor_id, score): about ``target`` or more of the k nearest other rows, of all rows, of every row for which ``queries`` holds (default: of every row)."""
+    spark = common.tune(rows.sparkSession)
+    good, names = vectors(rows, id_col, vec_col)
+    n = good.count()
+    empty = spark.createDataFrame([], "vec_id long, rank int, neighbor_id long, score double")
+    if not n:
+        return renamed(empty, names)
+    tree = fit(good, n, leaf_rows, sample_rows)
+    share = spark.sparkContext.broadcast(tree)
 
-    def run(it):
-        tree_, cents_ = share.value
-        total: dict = {}
+    def place(it):
         for batch in it:
-            x = unit(matrix(batch.column("v")))
-            cell = tree_.assign(x)
-            for c in np.unique(cell):
-                if c not in cents_:
-                    continue
-                y, m = x[cell == c], cents_[c]
-                own = ((m * m).sum(1) - 2 * (y @ m.T)).argmin(1)
-                for k in np.unique(own):
-                    n, s = total.get((c, k), (0, 0.0))
-                    total[c, k] = n + int((own == k).sum()), s + y[own == k].sum(0)
-        keys = sorted(total)
-        yield pa.RecordBatch.from_arrays([pa.array([int(c) for c, _ in keys], pa.int64()), pa.array([int(k) for _, k in keys], pa.int64()), pa.array([total[k][0] for k in keys], pa.int64()), pa.array([total[k][1].tolist() for k in keys], pa.list_(pa.float64()))], ["cell", "k", "n", "s"])
-
-    def add(t: pa.Table) -> pa.Table:
-        return pa.table({"cell": t["cell"][:1], "k": t["k"][:1], "n": pa.array([sum(t["n"].to_pylist())], pa.int64()), "s": pa.array([matrix(t["s"]).sum(0).tolist()], pa.list_(pa.float64()))})
-
-    ddl = "cell long, k long, n long, s array<double>"
-    got = rows.mapInArrow(run, ddl).groupBy("cell", "k").applyInArrow(add, ddl).collect()
-    return {(r["cell"], r["k"]): (r["n"], np.array(r["s"])) for r in got}
-
-
-def _visit(rows: DataFrame, queries: DataFrame, tree: Tree, probes: int, levels: tuple[int, ...], k: int) -> DataFrame:
-    """(id, level, order, ids, scores): the best k of each query in each of its cells, at each number of visits."""
-    share = rows.sparkSession.sparkContext.broadcast(tree)
-    blocks = max(1, probes)
+            yield pa.RecordBatch.from_arrays([pa.array(share.value.assign(unit(matrix(batch.column("v"))))), batch.column("id"), batch.column("v")], ["leaf", "id", "v"])
+
+    indexed = common.written(good.mapInArrow(common.lean(place), "leaf long, id long, v array<double>"))
+    counts = np.zeros(tree.leaves, np.int64)
+    for r in indexed.groupBy("leaf").count().collect():
+        counts[r["leaf"]] = r["count"]
+    visits, _ = calibrate(indexed, tree, k, target)
+    first, many, shards = shard_leaves(counts, max(1, -(-n // shard_rows), min(common.parts(spark), -(-n // LEAST_ROWS))))
+    plan = spark.sparkContext.broadcast((first, many))
 
     def home(it):
         for batch in it:
-            cell = share.value.assign(unit(matrix(batch.column("v"))))
-            yield pa.RecordBatch.from_arrays([pa.array(cell), batch.column("id"), batch.column("v")], ["cell", "id", "v"])
+            leaf, ids = batch.column("leaf").to_numpy(), batch.column("id").to_numpy()
+            first_, many_ = plan.value
+            shard = first_[leaf] + (mix64(ids.astype(np.uint64)) % many_[leaf].astype(np.uint64)).astype(np.int64)
+            m = batch.num_rows
+            yield pa.RecordBatch.from_arrays([pa.array(shard.astype(np.int32)), pa.array(np.zeros(m, bool)), batch.column("leaf"), batch.column("id"), batch.column("v"), pa.nulls(m, pa.list_(pa.int32()))], _MEET)
 
     def ask(it):
         for batch in it:
-            x = unit(matrix(batch.column("v")))
-            row, cell, order = [], [], []
-            for r, q in enumerate(x):
-                for n, b in zip(range(probes), share.value.best_bins(q)):
+            first_, many_ = plan.value
+            row, shard, leaves = [], [], []
+            for r, q in enumerate(unit(matrix(batch.column("v")))):
+                bins = np.fromiter(islice(share.value.best_bins(q), visits), np.int64)
+                spread = np.repeat(bins, many_[bins])
+                of = first_[spread] + np.arange(len(spread)) - np.repeat(np.cumsum(many_[bins]) - many_[bins], many_[bins])
+                o = np.argsort(of, kind="stable")
+                for s, at in zip(*_runs(of[o])):
                     row.append(r)
-                    cell.append(b)
-                    order.append(n)
+                    shard.append(s)
+                    leaves.append(spread[o][at])
             take = pa.array(row, pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(cell, pa.int64()), pa.array(order, pa.int32()), batch.column("id").take(take), batch.column("v").take(take)], ["cell", "order", "id", "v"])
-
-    # A cell's queries are met in blocks, so a task's share stays near a cell's size whatever the probes.
-    block = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
-    homes = rows.select("id", "v").mapInArrow(home, "cell long, id long, v array<double>").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    asks = queries.select("id", "v").mapInArrow(ask, "cell long, order int, id long, v array<double>").withColumn("block", block)
-
-    def meet(h: pa.Table, a: pa.Table) -> pa.Table:
-        out: list[list] = [[], [], [], [], []]
-        if len(h) and len(a):
-            cell = Cell(h["id"].to_numpy(), unit(matrix(h["v"])))
-            for qid, order, q in zip(a["id"].to_pylist(), a["order"].to_pylist(), unit(matrix(a["v"]))):
-                for level, f, s in cell.search(q, qid, k, levels):
-                    for col, v in zip(out, (qid, level, order, f.tolist(), s.tolist())):
-                        col.append(v)
-        types = (pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.float64()))
-        return pa.table([pa.array(c, t) for c, t in zip(out, types)], names=["id", "level", "order", "ids", "scores"])
-
-    return homes.groupBy("cell", "block").cogroup(asks.groupBy("cell", "block")).applyInArrow(meet, "id long, level int, order int, ids array<long>, scores array<double>")
+            m = len(row)
+            yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), pa.array(np.ones(m, bool)), pa.nulls(m, pa.int64()), batch.column("id").take(take), batch.column("v").take(take), pa.array(leaves, pa.list_(pa.int32()))], _MEET)
 
+    def meet(it):
+        for _, home_, asks_ in common.met(it):
+            if home_ is not None:
+                leaf, ids = home_["leaf"].to_numpy(), home_["id"].to_numpy()
+                o = np.lexsort((ids, leaf))
+                numbers, at = _runs(leaf[o])
+                ids, x, start = ids[o], unit(matrix(home_["v"]))[o], np.r_[[s.start for s in at], len(o)]
+                leaves = {int(b): i for i, b in enumerate(numbers)}
+                continue
+            qids, wanted = asks_.column("id").to_numpy(), asks_.column("leaves")
+            for a, f, s in _scan(ids, x, start, leaves, qids, unit(matrix(asks_.column("v"))), [np.asarray(w.values) for w in wanted], k):
+                yield pa.RecordBatch.from_arrays([pa.array(qids[a]), pa.array(f), pa.array(s)], ["vec_id", "neighbor_id", "score"])
 
-def _truth(rows: DataFrame, sample: list, k: int) -> dict[int, set]:
-    """True neighbours of the sampled queries, by brute force over all rows."""
-    ids, x = np.array([r["id"] for r in sample]), unit(np.array([r["v"] for r in sample]))
+    ddl = "shard int, asks boolean, leaf long, id long, v array<double>, leaves array<int>"
+    asks = asking(rows, good, names, queries, id_col).repartition(common.parts(spark), "id").mapInArrow(common.lean(ask), ddl)
+    both = indexed.mapInArrow(common.lean(home), ddl).union(asks)
+    each = common.placed(both, "shard", shards, F.col("asks")).mapInArrow(common.lean(meet), "vec_id long, neighbor_id long, score double")
+    order = Window.partitionBy("vec_id").orderBy(F.desc("score"), "neighbor_id")
+    return renamed(each.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("vec_id", "rank", "neighbor_id", "score"), names)
 
-    def run(it):
-        best = [(np.zeros(0, np.int64), np.zeros(0))] * len(ids)
-        for batch in it:
-            own, sims = batch.column("id").to_numpy(), np.round(x @ unit(matrix(batch.column("v"))).T, 8)
-            for i in range(len(ids)):
-                keep = own != ids[i]
-                best[i] = _top(np.r_[best[i][0], own[keep]], np.r_[best[i][1], sims[i][keep]], k)
-        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, [len(b[0]) for b in best])), pa.array(np.concatenate([b[0] for b in best])), pa.array(np.concatenate([b[1] for b in best]))], ["q", "id", "score"])
 
-    order = Window.partitionBy("q").orderBy(F.desc("score"), "id")
-    out: dict[int, set] = {int(i): set() for i in ids}
-    for r in rows.mapInArrow(run, "q long, id long, score double").withColumn("n", F.row_number().over(order)).filter(F.col("n") <= k).collect():
-        out[r["q"]].add(r["id"])
-    return out
-
-
-def calibrate(rows: DataFrame, tree: Tree, k: int, target: float, sample: int = SAMPLE) -> tuple[int, int, float]:
-    """(probes, visits, recall): the cheapest setting whose recall on the sampled queries reaches ``target``."""
-    chosen = rows.orderBy(F.xxhash64("id", F.lit(7)), "id").limit(sample)
-    queries = chosen.collect()
-    truth = _truth(rows, queries, k)
-    total = max(1, sum(len(t) for t in truth.values()))
-    fixed = common.written(chosen)
-    probes = min(tree.leaves, 16)
-    while True:
-        found: dict[int, dict] = {}
-        for r in _visit(rows, fixed, tree, probes, _LEVELS, k).collect():
-            found.setdefault(r["id"], {})[r["order"], r["level"]] = (r["ids"], r["scores"])
-        best = None
-        for p in range(1, probes + 1):
-            for level, visits in enumerate(_LEVELS):
-                hit = 0
-                for q, cells in found.items():
-                    got = [cells.get((o, level), ((), ())) for o in range(p)]
-                    f, _ = _top(np.array([i for g in got for i in g[0]], np.int64), np.array([s for g in got for s in g[1]]), k)
-                    hit += len(truth[q].intersection(f.tolist()))
-                if hit / total >= target:
-                    cost = p * min(visits, 2 * CELL_ROWS // LEAF_ROWS)
-                    if best is None or cost < best[0]:
-                        best = (cost, p, visits, hit / total)
-                    break
-        if best or probes >= tree.leaves:
-            return best[1:] if best else (tree.leaves, _LEVELS[-1], 1.0)
-        probes = min(tree.leaves, 2 * probes)
-
-
-def search(rows: DataFrame, k: int = K, target: float = TARGET, id_col: str = "vec_id", vec_col: str = "embedding", cell_rows: int = CELL_ROWS) -> DataFrame:
-    """(vec_id, rank, neighbor_id, score): about ``target`` of the k nearest other rows of every row."""
-    spark = common.tune(rows.sparkSession)
-    good = common.written(vectors(rows, id_col, vec_col))
-    n = good.count()
-    if not n:
-        return spark.createDataFrame([], "vec_id long, rank int, neighbor_id long, score double")
-    good = good.repartition(max(common.parts(spark), -(-n // 65536)), "id")
-    tree = plant(good, n, len(good.select("v").first()["v"]), cell_rows)
-    probes, visits, _ = calibrate(good, tree, k, target)
-    each = _visit(good, good, tree, probes, (visits,), k).select("id", F.explode(F.arrays_zip("ids", "scores")).alias("z"))
-    order = Window.partitionBy("id").orderBy(F.desc("z.scores"), "z.ids")
-    return each.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select(F.col("id").alias("vec_id"), "rank", F.col("z.ids").alias("neighbor_id"), F.col("z.scores").alias("score"))
+_MEET = ["shard", "asks", "leaf", "id", "v", "leaves"]
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search(common.table(spark, sf_dir, "embeddings"))
+    """The neighbours of every row whose id is divisible by 100, among all rows."""
+    return search(common.table(spark, sf_dir, "embeddings"), queries=F.col("vec_id") % 100 == 0)
