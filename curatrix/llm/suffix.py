@@ -20,13 +20,18 @@ buckets of their first words. Adjacent common prefixes of ``WINDOW`` words
 then delimit the equal passages. Sorting compares ``WINDOW`` words: longer
 prefixes cannot change which passages are equal.
 
-Words are 32-bit hashes inside a shard, and a block's identity and the anchors
+**Hot anchors.** An anchor whose blocks have more than ``HOT_WORDS`` words
+(boilerplate of very many documents) is never brought together: its passages
+are named by 64-bit hashes, the first occurrence of each is a minimum that is
+aggregated before it is shuffled, and the passages are joined with those.
+
+Words are 48-bit hashes inside a shard, and a block's identity and the anchors
 are 64-bit.
 
 Defined results: null, empty and shorter texts have no passage and stay as
 they are. Rows with equal id and text are one document listed more than once:
 they keep the same words. Rows with equal id but other text are different
-documents. An empty table gives an empty result. Extra columns are kept by
+documents. Ids may be of any type that can be ordered. An empty table gives an empty result. Extra columns are kept by
 ``remove_repeats`` and ignored otherwise.
 """
 
@@ -42,8 +47,10 @@ from .textarrays import SPACED, column, hashes, mix64, slices, words
 
 WINDOW = 50
 RUN = 16
-#: Words of one suffix array; a single anchor's blocks are never split.
-ARRAY_WORDS = 400_000
+#: Words of one suffix array; a single anchor's blocks are never split, and have HOT_WORDS words at most.
+ARRAY_WORDS, HOT_WORDS = 400_000, 1 << 22
+#: Words of a shard, about: a task holds one shard.
+SHARD_WORDS = 1 << 24
 _C = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -90,7 +97,7 @@ def _hashed(batch: pa.RecordBatch, name: str):
 
 
 def _anchor_rows(it):
-    """Anchors of a batch's blocks, and whether one alone can repeat: it has two blocks, or passages that don't overlap."""
+    """Anchors of a batch's blocks, their blocks' words, and whether one alone can repeat: it has two blocks, or passages that don't overlap."""
     for batch in it:
         got = [blocks(h, first)[::3] for _, h, first in _hashed(batch, "text")]
         a, n = (np.concatenate(x) for x in zip(*got)) if got else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
@@ -98,7 +105,32 @@ def _anchor_rows(it):
         a, n = a[o], n[o]
         at = np.flatnonzero(np.r_[True, a[1:] != a[:-1]]) if len(a) else np.zeros(0, np.int64)
         again = (np.diff(np.r_[at, len(a)]) > 1) | (np.maximum.reduceat(n, at) > WINDOW) if len(a) else np.zeros(0, bool)
-        yield pa.RecordBatch.from_arrays([pa.array(a[at].view(np.int64)), pa.array(again)], ["anchor", "again"])
+        size = np.add.reduceat(n + WINDOW - 1, at) if len(a) else np.zeros(0, np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(a[at].view(np.int64)), pa.array(size), pa.array(again)], ["anchor", "words", "again"])
+
+
+def _passage_hashes(h: np.ndarray) -> np.ndarray:
+    """64-bit name of the WINDOW words that start at each word."""
+    size, out = 1, h
+    while size * 2 <= WINDOW:
+        out = mix64(out[:-size] * _C + out[size:])
+        size *= 2
+    rest = WINDOW - size
+    return mix64(out[: len(out) - rest] * _C + out[rest:]) if len(out) > rest else np.zeros(0, np.uint64)
+
+
+#: Bytes of a word's hash in a block.
+_WORD_BYTES = 6
+
+
+def _packed(h: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(h).view(np.uint8).reshape(-1, 8)[:, 8 - _WORD_BYTES :]
+
+
+def _unpacked(raw: np.ndarray) -> np.ndarray:
+    out = np.zeros((len(raw), 8), np.uint8)
+    out[:, 8 - _WORD_BYTES :] = raw
+    return out.view(np.uint64)[:, 0]
 
 
 _BLOCK = pa.schema([("shard", pa.int32()), ("n", pa.int32()), ("heads", pa.binary()), ("words", pa.binary())])
@@ -142,33 +174,70 @@ def sort_suffixes(t: np.ndarray, window: int = WINDOW) -> np.ndarray:
         behind = begin + counts - smalls
         rank = np.arange(len(order)) - np.r_[0, np.cumsum(smalls)[:-1]][first]
         sa[behind[first] + rank] = order
-    heads, values, out = begin.tolist(), t.tolist(), sa.tolist()
-    heads[0] = len(zeros)
-    large = (~small & (t > 0)).tolist()
-    i = 0
-    while i < n:
-        p = out[i] - 1
-        if p >= 0 and large[p]:
-            c = values[p]
-            k = heads[c]
-            out[k] = p
-            heads[c] = k + 1
-        i += 1
-    return np.array(out, np.int64)
+    _induce(t, np.flatnonzero(~small & (t > 0)), sa, begin, np.cumsum(counts))
+    return sa
+
+
+#: Buckets are scanned in groups of at least so many suffixes.
+_SCAN = 1 << 14
+
+
+def _induce(t: np.ndarray, large: np.ndarray, sa: np.ndarray, begin: np.ndarray, upto: np.ndarray) -> None:
+    """Fill the fronts of the buckets of ``sa`` with the large suffixes, group of buckets by group of buckets.
+
+    A large suffix stands in its bucket as the suffix behind its run of equal
+    words stands among all, after those of shorter runs. That one is in a lower
+    bucket: in an earlier group, or in the same group, which is then scanned
+    until no new suffix is induced.
+    """
+    if not len(large):
+        return
+    n = len(t)
+    breaks = np.r_[np.flatnonzero(t[1:] != t[:-1]) + 1, n]
+    behind = breaks[np.searchsorted(breaks, large, "right")]
+    run = np.minimum(behind - large, WINDOW)
+    place = np.full(n + 1, -1, np.int64)
+    there = np.flatnonzero(sa >= 0)
+    place[sa[there]] = there
+    place[n] = -2  # nothing: before all
+    o = np.argsort(t[large], kind="stable")
+    large, behind, run = large[o], behind[o], run[o]
+    value = t[large]
+    lo = 0
+    while lo < len(large):
+        hi = int(np.searchsorted(value, value[min(lo + _SCAN, len(large)) - 1], "right"))
+        p, q, c, m = large[lo:hi], behind[lo:hi], value[lo:hi], run[lo:hi]
+        lo, known = hi, 0
+        while True:
+            on = np.flatnonzero(place[q] != -1)
+            if len(on) == known:
+                break
+            known = len(on)
+            # Positions are those among the suffixes known so far: their order is final.
+            by = on[np.lexsort((place[q[on]], m[on], c[on]))]
+            first = np.r_[0, np.flatnonzero(c[by][1:] != c[by][:-1]) + 1]
+            rank = np.arange(known) - np.repeat(first, np.diff(np.r_[first, known]))
+            place[p[by]] = begin[c[by]] + rank
+        sa[place[p]] = p
 
 
 def common_prefixes(t: np.ndarray, sa: np.ndarray, window: int = WINDOW) -> np.ndarray:
-    """Common prefix of each suffix and the one before it in ``sa``, up to ``window``; it ends at a 0."""
-    lcp = np.zeros(len(sa), np.int64)
-    at = np.arange(1, len(sa))
-    for k in range(window):
-        a, b = sa[at - 1] + k, sa[at] + k
-        ok = (a < len(t)) & (b < len(t))
-        ok[ok] = (t[a[ok]] == t[b[ok]]) & (t[a[ok]] > 0)
-        at = at[ok]
-        if not len(at):
-            break
-        lcp[at] += 1
+    """Common prefix of each suffix and the one before it in ``sa``, up to ``window``; it ends at a 0.
+
+    It is composed of runs of 2**k words, longest first, compared by 64-bit
+    hashes; those that hold a 0 are like no other.
+    """
+    n = len(t)
+    levels = [np.where(t > 0, mix64(t.astype(np.uint64)), mix64(np.arange(n).astype(np.uint64) + _C))]
+    while 2 ** len(levels) <= window:
+        size, last = 2 ** (len(levels) - 1), levels[-1]
+        levels.append(mix64(last[: max(0, len(last) - size)] * _C + last[size:]))
+    lcp = np.zeros(n, np.int64)
+    for k in range(len(levels) - 1, -1, -1):
+        run, size = levels[k], 2**k
+        a, b = sa[:-1] + lcp[1:], sa[1:] + lcp[1:]
+        at = np.flatnonzero((np.maximum(a, b) < len(run)) & (lcp[1:] + size <= window))
+        lcp[1 + at[run[a[at]] == run[b[at]]]] += size
     return lcp
 
 
@@ -233,11 +302,11 @@ def _find(it):
     for batch in it:
         for hb, wb in zip(batch.column("heads"), batch.column("words")):
             heads.append(np.frombuffer(hb.as_py(), _HEAD))
-            texts.append(np.frombuffer(wb.as_py(), np.uint32))
+            texts.append(np.frombuffer(wb.as_py(), np.uint8).reshape(-1, _WORD_BYTES))
     if not heads:
         return
     h = np.concatenate(heads)
-    text = np.concatenate(texts)
+    text = np.concatenate(texts)  # widened only by the array at hand
     del heads, texts
     offs = np.r_[0, np.cumsum(h["size"].astype(np.int64))]
     by = np.argsort(h["anchor"], kind="stable")
@@ -249,7 +318,7 @@ def _find(it):
         hi = max(lo + 1, int(np.searchsorted(upto[edge], upto[edge[lo]] + ARRAY_WORDS, "right")) - 1)
         a, b = edge[lo], edge[hi]
         part = h[a:b]
-        words_ = text[_spread(offs_by[a:b], part["size"].astype(np.int64))]
+        words_ = _unpacked(text[_spread(offs_by[a:b], part["size"].astype(np.int64))])
         head, word, source, gone = repeats(part, words_)
         lo = hi
         if not gone.any():
@@ -269,14 +338,70 @@ def _find(it):
         )
 
 
-def spans(docs: DataFrame) -> DataFrame:
+def _keyed(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """(doc, key, text) of the documents with text, ``doc`` a number of the ids' order, and the ids (id, number), None where they are numbers."""
+    names, keyed = common.id_numbers(docs, "doc_id"), docs.select("doc_id", common.row_key().alias("key"), "text").filter("text is not null")
+    if names is not None:
+        keyed = keyed.join(names.toDF("doc_id", "number"), "doc_id", "left").select(F.col("number").alias("doc_id"), "key", "text")
+    return keyed.select(F.col("doc_id").cast("long").alias("doc"), "key", "text"), names
+
+
+def spans(keyed: DataFrame, hot_words: int = HOT_WORDS) -> DataFrame:
     """(known, doc, key, start, end, from_doc): words [start, end) of a document, of which passages of ``from_doc`` cover each; they may overlap."""
-    spark = common.tune(docs.sparkSession)
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc"), common.row_key().alias("key"), "text").filter("text is not null")
-    anchors = keyed.select("text").mapInArrow(common.lean(_anchor_rows), "anchor long, again boolean")
-    several = common.written(anchors.groupBy("anchor").agg(F.count("*").alias("n"), F.max("again").alias("again")).filter("n > 1 or again").select("anchor"))
-    known = spark.sparkContext.broadcast(common.bitmap(several, "anchor", several.count()))
-    shards = max(12, 4 * common.parts(spark))
+    spark = common.tune(keyed.sparkSession)
+    anchors = keyed.select("text").mapInArrow(common.lean(_anchor_rows), "anchor long, words long, again boolean")
+    counted = anchors.groupBy("anchor").agg(F.count("*").alias("n"), F.max("again").alias("again"), F.sum("words").alias("words"))
+    several = common.written(counted.filter("n > 1 or again").select("anchor", "words"))
+    size = several.agg(F.count("*"), F.sum("words"), F.count(F.when(F.col("words") > hot_words, 1))).first()
+    known = spark.sparkContext.broadcast(common.bitmap(several, "anchor", size[0]))
+    hot = spark.sparkContext.broadcast(common.bitmap(several.filter(F.col("words") > hot_words), "anchor", size[2]) if size[2] else None)
+    shards = max(12, 4 * common.parts(spark), (size[1] or 0) // SHARD_WORDS)
+    found = _in_shards(keyed, known, hot, shards)
+    return found.union(_hot_spans(keyed, hot)) if size[2] else found
+
+
+def _hot_spans(keyed: DataFrame, hot) -> DataFrame:
+    """Spans of the passages of hot anchors, by their hashes."""
+
+    def emit(it):
+        for batch in it:
+            doc, key = batch.column("doc"), batch.column("key")
+            for lo, h, first in _hashed(batch, "text"):
+                anchor, row, at, n = blocks(h, first)
+                ok = common.in_bitmap(hot.value, anchor)
+                if not ok.any():
+                    continue
+                row, at, n = row[ok], at[ok], n[ok]
+                word, of = _spread(at, n), np.repeat(row, n)
+                take = pa.array(lo + of)
+                own = doc.take(take)
+                yield pa.RecordBatch.from_arrays([pa.array(_passage_hashes(h)[word].view(np.int64)), own.is_valid(), own.fill_null(0), key.take(take), pa.array((word - first[of]).astype(np.int32))], ["p", "known", "doc", "key", "word"])
+
+    each = keyed.mapInArrow(common.lean(emit), "p long, known boolean, doc long, key long, word int")
+    place = F.struct("known", "doc", "key", "word")
+    firsts = each.groupBy("p").agg(F.min(place).alias("f"), F.max(place).alias("l")).filter("f <> l")
+    firsts = common.written(firsts.select("p", "f"))
+    here, there = F.struct("known", "doc", "key"), F.struct("f.known", "f.doc", "f.key")
+    again = each.join(common.side(firsts), "p").filter((here != there) | (F.col("word") >= F.col("f.word") + WINDOW))
+    rows = again.select("known", "doc", "key", "word", F.col("f.key").alias("source"), F.when(F.col("f.known"), F.col("f.doc")).alias("from_doc"))
+    return rows.mapInArrow(_merged, _SPAN_DDL)
+
+
+def _merged(it):
+    """Passages that follow one another, and have one source, as one span."""
+    for batch in it:
+        if not batch.num_rows:
+            continue
+        key, word, source = (batch.column(c).to_numpy() for c in ("key", "word", "source"))
+        new = np.r_[True, (key[1:] != key[:-1]) | (word[1:] != word[:-1] + 1) | (source[1:] != source[:-1])]
+        s = np.flatnonzero(new)
+        e = np.r_[s[1:], len(key)] - 1
+        take = pa.array(s)
+        yield pa.RecordBatch.from_arrays([batch.column("known").take(take), batch.column("doc").take(take), batch.column("key").take(take), pa.array(word[s]), pa.array((word[e] + WINDOW).astype(np.int32)), batch.column("from_doc").take(take)], schema=_SPAN)
+
+
+def _in_shards(keyed: DataFrame, known, hot, shards: int) -> DataFrame:
+    """Spans of the passages of all other anchors, by suffix arrays."""
 
     def send(it):
         for batch in it:
@@ -285,6 +410,8 @@ def spans(docs: DataFrame) -> DataFrame:
             for lo, h, first in _hashed(batch, "text"):
                 anchor, row, at, n = blocks(h, first)
                 ok = common.in_bitmap(known.value, anchor)
+                if hot.value is not None:
+                    ok &= ~common.in_bitmap(hot.value, anchor)
                 if not ok.any():
                     continue
                 anchor, row, at, n = anchor[ok], row[ok], at[ok], n[ok]
@@ -295,8 +422,7 @@ def spans(docs: DataFrame) -> DataFrame:
                 heads = np.empty(len(o), _HEAD)
                 heads["anchor"], heads["known"], heads["doc"], heads["key"] = anchor, have[lo + row], ids[lo + row], key[lo + row]
                 heads["start"], heads["passages"], heads["size"] = at - first[row], n, size
-                low = (h >> np.uint64(32)).astype(np.uint32)
-                flat = low[_spread(at, size)]
+                flat = _packed(h[_spread(at, size)])
                 cut = np.r_[np.flatnonzero(np.r_[True, shard[1:] != shard[:-1]]), len(o)]
                 upto = np.r_[0, np.cumsum(size)]
                 yield pa.RecordBatch.from_arrays(
@@ -317,10 +443,17 @@ def union_spans(found: DataFrame) -> DataFrame:
     return numbered.groupBy("known", "doc", "key", "span").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sort_array(F.collect_set("from_doc")).alias("from_docs"))
 
 
-def passages(docs: DataFrame) -> DataFrame:
+def passages(docs: DataFrame, hot_words: int = HOT_WORDS) -> DataFrame:
     """(doc_id, start_word, end_word, first_doc_ids): words that go, and the documents that had them first."""
-    each = union_spans(spans(docs))
-    return each.select(F.when(F.col("known"), F.col("doc")).alias("doc_id"), F.col("start").alias("start_word"), F.col("end").alias("end_word"), F.col("from_docs").alias("first_doc_ids"))
+    keyed, names = _keyed(docs)
+    each = union_spans(spans(keyed, hot_words))
+    each = each.select(F.when(F.col("known"), F.col("doc")).alias("doc_id"), F.col("start").alias("start_word"), F.col("end").alias("end_word"), F.col("from_docs").alias("first_doc_ids"), "key")
+    if names is None:
+        return each.drop("key")
+    left, right = names.toDF("id", "doc_id"), names.toDF("from_id", "number")
+    sources = each.select("key", "start_word", F.explode("first_doc_ids").alias("number")).join(right, "number").groupBy("key", "start_word").agg(F.sort_array(F.collect_set("from_id")).alias("ids"))
+    named = each.join(left, "doc_id", "left").join(sources, ["key", "start_word"], "left")
+    return named.select(F.col("id").alias("doc_id"), "start_word", "end_word", F.coalesce("ids", F.array().cast(sources.schema["ids"].dataType)).alias("first_doc_ids"))
 
 
 def _cut(texts: pa.Array, spans_: pa.Array) -> pa.Array:
@@ -342,10 +475,10 @@ def _cut(texts: pa.Array, spans_: pa.Array) -> pa.Array:
     return pa.array(out, pa.string())
 
 
-def remove_repeats(docs: DataFrame) -> DataFrame:
+def remove_repeats(docs: DataFrame, hot_words: int = HOT_WORDS) -> DataFrame:
     """The documents, with the columns they came with, without repeated passages. Documents with nothing else left go."""
     key, other, spans_ = common.fresh(docs, "key", "cut_key", "cut_spans")
-    cuts = union_spans(spans(docs)).groupBy("key").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("s"))
+    cuts = union_spans(spans(_keyed(docs)[0], hot_words)).groupBy("key").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("s"))
     cuts = common.written(cuts.select(F.col("key").alias(other), F.col("s").alias(spans_)))
     joined = docs.withColumn(key, common.row_key()).join(common.side(cuts, 100_000), F.col(key) == F.col(other), "left")
     # Only texts with a span go through Python.

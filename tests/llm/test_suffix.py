@@ -3,6 +3,7 @@ from __future__ import annotations
 import random
 
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -65,20 +66,20 @@ def _texts(seed: int) -> list[str]:
     return out
 
 
-def test_against_brute_force(spark):
-    for seed in (1, 2):
-        texts = _texts(seed)
-        want = brute(dict(enumerate(texts)))
-        docs = documents(spark, texts)
-        got = set()
-        for r in suffix.passages(docs).collect():
-            span = {(r["doc_id"], j) for j in range(r["start_word"], r["end_word"])}
-            assert not span & got and r["first_doc_ids"]
-            got |= span
-        assert got == want and len(want) > 1000
-        left = {r["doc_id"]: r["text"].split() for r in suffix.remove_repeats(docs).collect()}
-        for d, t in enumerate(texts):
-            assert left.get(d, []) == [w for j, w in enumerate(t.split()) if (d, j) not in want]
+@pytest.mark.parametrize("seed,hot_words", [(1, suffix.HOT_WORDS), (2, suffix.HOT_WORDS), (2, 600), (1, 0)])
+def test_against_brute_force(spark, seed, hot_words):
+    texts = _texts(seed)
+    want = brute(dict(enumerate(texts)))
+    docs = documents(spark, texts)
+    got = set()
+    for r in suffix.passages(docs, hot_words).collect():
+        span = {(r["doc_id"], j) for j in range(r["start_word"], r["end_word"])}
+        assert not span & got and r["first_doc_ids"]
+        got |= span
+    assert got == want and len(want) > 1000
+    left = {r["doc_id"]: r["text"].split() for r in suffix.remove_repeats(docs, hot_words).collect()}
+    for d, t in enumerate(texts):
+        assert left.get(d, []) == [w for j, w in enumerate(t.split()) if (d, j) not in want]
 
 
 def test_against_sql(spark, tiny, oracle):
@@ -99,3 +100,27 @@ def test_repeated_rows_and_null_ids(spark):
     docs = documents(spark, [passage + " tail one", "lead " + passage, "lead " + passage, passage], [None, 5, 5, 9])
     got = sorted((repr(r["doc_id"]), r["text"]) for r in suffix.remove_repeats(docs).collect())
     assert got == [("5", "lead "), ("5", "lead "), ("None", passage + " tail one")]
+
+
+def test_ids_of_any_type(spark):
+    passage = " ".join(f"p{i}" for i in range(60))
+    rows = [("b", passage + " tail"), ("a", "lead " + passage), (None, "none " + passage), ("c", passage)]
+    docs = spark.createDataFrame(rows[:2] + rows[3:], "doc_id string, text string")
+    got = {(r["doc_id"], r["start_word"], r["end_word"], tuple(r["first_doc_ids"])) for r in suffix.passages(docs).collect()}
+    assert got == {("b", 0, 60, ("a",)), ("c", 0, 60, ("a",))}
+    docs = spark.createDataFrame(rows, "doc_id string, text string")
+    for hot_words in (suffix.HOT_WORDS, 10):
+        # The null id comes first.
+        got = {(r["doc_id"], r["start_word"], r["end_word"], tuple(r["first_doc_ids"])) for r in suffix.passages(docs, hot_words).collect()}
+        assert got == {("a", 1, 61, ()), ("b", 0, 60, ()), ("c", 0, 60, ())}
+
+
+def test_many_copies_of_one_passage(spark):
+    """50,000 documents of which each holds the passage: all but the first lose it, whether or not it is hot."""
+    from pyspark.sql import functions as F
+
+    passage = " ".join(f"p{i}" for i in range(60))
+    docs = spark.range(50_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("x"), F.col("id").cast("string"), F.lit(f" {passage} y"), F.col("id").cast("string")).alias("text"))
+    for hot_words in (suffix.HOT_WORDS, 1 << 16):
+        got = suffix.passages(docs, hot_words).groupBy("start_word", "end_word", "first_doc_ids").count().collect()
+        assert [tuple(r) for r in got] == [(1, 61, [0], 49_999)]
