@@ -162,8 +162,18 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
-def side(df: DataFrame, most_rows: int = 1_000_000) -> DataFrame:
-    """``df`` (a written table of narrow rows) as a join side: broadcast up to ``most_rows``, else shuffled."""
+#: Bytes of files and number of rows of a table that is broadcast, at most.
+SIDE_BYTES, SIDE_ROWS = 4 << 20, 1_000_000
+
+
+def side(df: DataFrame, most_bytes: int = SIDE_BYTES, most_rows: int = SIDE_ROWS) -> DataFrame:
+    """``df`` (a written table) as a join side: broadcast up to ``most_bytes`` of files and ``most_rows``, else shuffled."""
+    conf, jvm, size = df.sparkSession._jsc.hadoopConfiguration(), df.sparkSession._jvm, 0
+    for f in df.inputFiles():
+        path = jvm.org.apache.hadoop.fs.Path(f)
+        size += path.getFileSystem(conf).getFileStatus(path).getLen()
+        if size > most_bytes:
+            return df
     return F.broadcast(df) if df.count() <= most_rows else df
 
 
@@ -216,20 +226,26 @@ def lean(run: Callable) -> Callable:
     return wrapped
 
 
-def attach(rows: DataFrame, key: str, marks: DataFrame, other: str) -> DataFrame:
-    """``rows`` left-joined with ``marks`` (a written table, one row for each 64-bit ``other``) on ``key``.
-
-    Only rows whose key may be marked are shuffled: a bitmap of at most 32 MB
-    tells them apart, and the others, texts and all, stay where they are.
-    """
-    known = rows.sparkSession.sparkContext.broadcast(bitmap(marks, other, marks.count()))
+def may_have(key: Column, marks: DataFrame, other: str) -> Column:
+    """Whether a 64-bit key may be among those of ``marks`` (a written table): a bitmap of at most 32 MB tells."""
+    known = marks.sparkSession.sparkContext.broadcast(bitmap(marks, other, marks.count()))
 
     @F.arrow_udf("boolean")
     def marked(keys: pa.Array) -> pa.Array:
         return pa.array(in_bitmap(known.value, keys.to_numpy(zero_copy_only=False).view(np.uint64)))
 
-    hit = rows.filter(marked(F.col(key))).join(marks, F.col(key) == F.col(other), "left")
-    rest = rows.filter(~marked(F.col(key)))
+    return marked(key)
+
+
+def attach(rows: DataFrame, key: str, marks: DataFrame, other: str) -> DataFrame:
+    """``rows`` left-joined with ``marks`` (a written table, one row for each 64-bit ``other``) on ``key``.
+
+    Only rows whose key may be marked are shuffled, if any; the others, texts
+    and all, stay where they are.
+    """
+    marked = may_have(F.col(key), marks, other)
+    hit = rows.filter(marked).join(side(marks), F.col(key) == F.col(other), "left")
+    rest = rows.filter(~marked)
     return hit.unionByName(rest.select("*", *[F.lit(None).cast(marks.schema[c].dataType).alias(c) for c in marks.columns]))
 
 

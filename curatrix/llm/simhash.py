@@ -443,10 +443,10 @@ def keep_first(docs: DataFrame, origin: DataFrame | None = None, cell_rows: int
     best = common.written(groups.groupBy("root").agg(first).select("root", "stays"))
     key, other, copy = common.fresh(docs, "key", "other_key", "copy")
     gone = common.written(groups.join(common.side(best), "root").filter(F.col("key") != F.col("stays.key")).select(F.col("key").alias(other)).distinct())
-    kept = docs.withColumn(key, common.row_key()).join(common.side(gone), F.col(key) == F.col(other), "left_anti")
+    kept = common.attach(docs.withColumn(key, common.row_key()), key, gone, other).filter(F.col(other).isNull()).drop(other)
     again = common.written(_prints_again(docs, other))
     if again.limit(1).count():
-        marked = kept.join(common.side(again), F.col(key) == F.col(other), "left")
+        marked = common.attach(kept, key, again, other)
         order = Window.partitionBy(key).orderBy(*[F.col(c).asc_nulls_first() for c in docs.columns])
         one = marked.filter(F.col(other).isNotNull()).withColumn(copy, F.row_number().over(order)).filter(F.col(copy) == 1).drop(copy)
         kept = marked.filter(F.col(other).isNull()).union(one).drop(other)

@@ -480,7 +480,7 @@ def remove_repeats(docs: DataFrame, hot_words: int = HOT_WORDS) -> DataFrame:
     key, other, spans_ = common.fresh(docs, "key", "cut_key", "cut_spans")
     cuts = union_spans(spans(_keyed(docs)[0], hot_words)).groupBy("key").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("s"))
     cuts = common.written(cuts.select(F.col("key").alias(other), F.col("s").alias(spans_)))
-    joined = docs.withColumn(key, common.row_key()).join(common.side(cuts, 100_000), F.col(key) == F.col(other), "left")
+    joined = common.attach(docs.withColumn(key, common.row_key()), key, cuts, other)
     # Only texts with a span go through Python.
     left = F.arrow_udf(_cut, "string")(F.when(F.col(spans_).isNotNull(), F.col("text")), F.col(spans_))
     done = joined.withColumn(other, left).filter(F.col(spans_).isNull() | F.col(other).rlike(r"[^\x00-\x20]"))
