@@ -64,7 +64,9 @@ def _grams_sql(name: str, source: str, key: str, n: int) -> str:
 
 def _pairs_sql(source: str) -> str:
     return f"""{_grams_sql("gr", source, "doc_id", 13)},
-pr as (select a.id as a_id, b.id as b_id, count(*) as shared from gr a join gr b on a.g = b.g and a.id < b.id group by 1, 2),
+cl as (select id, min(id) over (partition by s) as class from (select id, md5(string_agg(g, '|' order by g)) as s from gr group by id)),
+rg as (select gr.* from gr join cl on cl.id = gr.id and cl.id = cl.class),
+pr as (select a.id as a_id, b.id as b_id, count(*) as shared from rg a join rg b on a.g = b.g and a.id < b.id group by 1, 2),
 e as (select a_id, b_id, shared, x.n + y.n - shared as total from pr join gr_n x on x.id = a_id join gr_n y on y.id = b_id where 5 * shared >= 4 * (x.n + y.n - shared))"""
 
 
@@ -73,7 +75,7 @@ _GREEDY = """r0 as (select -1 as id where false), """ + ", ".join(
     f"""k{i} as (select id from (select distinct a_id as id from e union select b_id from e) where id not in (select b_id from e where a_id not in (select id from r{i - 1}))),
 r{i} as (select distinct b_id as id from e where a_id in (select id from k{i}))"""
     for i in range(1, 6)
-)
+) + ", gone as (select id from r5 union select id from cl where id <> class)"
 
 
 def _documents(spark: SparkSession, d: str) -> DataFrame:
@@ -93,24 +95,33 @@ def ngram_stats(spark, d):
 
 @_query(f"with {_pairs_sql('documents')} select a_id, b_id, cast(shared as integer) as shared, cast(total as integer) as total from e")
 def dedupe_pairs(spark, d):
+    """The similar pairs of classes of equal n-gram sets, each named by its first row; ``dedupe_classes`` has the rows."""
+    sets = similarity.gram_sets(_documents(spark, d), "doc_id", "text")
+    return similarity.similar_pairs(materialise(similarity.representatives(sets, similarity.classes(sets)))).withColumnRenamed("union", "total")
+
+
+@_query(f"with {_pairs_sql('documents')}, li as (select id, count(*) as n from (select a_id as id from e union all select b_id from e) group by 1) select cl.id as doc_id, class as class_id, coalesce(n, 0) as links from cl left join li on li.id = class")
+def dedupe_classes(spark, d):
+    """Every row's class of equal n-gram sets, and how many other classes that is similar to."""
     sets = similarity.gram_sets(_documents(spark, d), "doc_id", "text")
-    return similarity.similar_pairs(sets).withColumnRenamed("union", "total")
+    _, pairs, classed = similarity.removed_rows(sets)
+    links = pairs.select(F.col("a_id").alias("class")).union(pairs.select("b_id")).groupBy("class").agg(F.count("*").alias("n"))
+    return classed.join(links, "class", "left").select(F.col("id").alias("doc_id"), F.col("class").alias("class_id"), F.coalesce("n", F.lit(0)).cast("long").alias("links"))
 
 
-@_query(f"with {_pairs_sql('documents')}, {_GREEDY} select doc_id, lang, source, n_chars from documents where doc_id not in (select id from r5)")
+@_query(f"with {_pairs_sql('documents')}, {_GREEDY} select doc_id, lang, source, n_chars from documents where doc_id not in (select id from gone)")
 def dedupe_kept(spark, d):
     return similarity.dedupe(_documents(spark, d), "doc_id", "text")[0].select("doc_id", "lang", "source", "n_chars")
 
 
 @_query(
     f"""with {_pairs_sql('documents')}, {_GREEDY}
-select (select count(*) from documents) as total, (select count(*) from e) as pairs, (select count(*) from r5) as removed_count,
-       coalesce((select string_agg(id, ' ' order by id) from r5), '') as removed_ids"""
+select (select count(*) from documents) as total, (select count(*) from e) as pairs, (select count(*) from gone) as removed_count,
+       coalesce((select string_agg(id, ' ' order by id) from gone), '') as removed_ids"""
 )
 def dedupe_report(spark, d):
     docs = _documents(spark, d)
-    pairs = materialise(similarity.similar_pairs(similarity.gram_sets(docs, "doc_id", "text")))
-    removed = similarity.greedy_removed(pairs)
+    removed, pairs, _ = similarity.removed_rows(similarity.gram_sets(docs, "doc_id", "text"))
     counts = removed.agg(F.count("*").alias("removed_count"), F.array_join(F.sort_array(F.collect_list("id")), " ").alias("removed_ids"))
     return docs.agg(F.count("*").alias("total")).crossJoin(pairs.agg(F.count("*").alias("pairs"))).crossJoin(counts)
 
@@ -635,7 +646,7 @@ def run_checkpoints(spark, d):
 
 @_query(
     f"""with recursive acc as (select d.* from documents d join labels l using (doc_id) where quality = 1 and toxic = 0), {_pairs_sql('acc')}, {_GREEDY},
-kept as (select doc_id as ord, ['lang:' || lang, 'source:' || source] as paths from acc where doc_id not in (select id from r5)),
+kept as (select doc_id as ord, ['lang:' || lang, 'source:' || source] as paths from acc where doc_id not in (select id from gone)),
 {_trim_sql('kept', TARGET)} select ord as doc_id, cast(rank as bigint) as rank from trimmed"""
 )
 def accepted_final(spark, d):
@@ -662,12 +673,12 @@ def critic_loop_outcome(spark, d):
 
 
 @_query(
-    f"""with {_pairs_sql('documents')}, {_GREEDY}, kept as (select * from documents where doc_id not in (select id from r5)),
+    f"""with {_pairs_sql('documents')}, {_GREEDY}, kept as (select * from documents where doc_id not in (select id from gone)),
 {_grams_sql('kg', 'kept', 'doc_id', 13)}, {_grams_sql('rf', 'benchmark', 'item_id', 13)},
 c as (select a.id, b.id as ref, count(*) as shared from kg a join rf b on a.g = b.g group by 1, 2),
 bad as (select distinct c.id from c join kg_n x on x.id = c.id join rf_n y on y.id = c.ref where 5 * shared >= 4 * (x.n + y.n - shared)),
 clean as (select * from kept where doc_id not in (select id from bad))
-select 'count' as metric, cast((select count(*) from clean) as double) as value union all select 'dedupe.removed_count', (select count(*) from r5)
+select 'count' as metric, cast((select count(*) from clean) as double) as value union all select 'dedupe.removed_count', (select count(*) from gone)
 union all select 'decontamination.removed_count', (select count(*) from bad) union all select 'coverage.lang', (select count(distinct lang) from clean) / (select count(distinct lang) from documents)
 union all select 'coverage.source', (select count(distinct source) from clean) / (select count(distinct source) from documents)"""
 )

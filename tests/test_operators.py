@@ -182,3 +182,25 @@ def test_cost_and_browsing(spark):
     assert [r["id"] for r in last] == list(range(30, 35)) and last[0]["range_label"] == "31-35 of 35"
     assert browse.apply_filters(data, " s1 ", "S1", True).count() == 30 and browse.apply_filters(data, "nope").count() == 0
     assert browse.summary(data).first().asDict() == {"rows": 35, "accepted": 30, "strategies": 1, "models": 1}
+
+
+def test_many_copies_cost_one_set(spark):
+    """20,000 copies of one text, and one near copy: one class, one pair, all but the first row removed."""
+    text = " ".join(f"w{i}" for i in range(120))
+    table = spark.range(20_000).select("id", F.lit(text).alias("text")).union(spark.createDataFrame([(20_000, text + " more"), (20_001, "something else")], "id long, text string"))
+    sets = similarity.gram_sets(table, "id", "text")
+    removed, pairs, classed = similarity.removed_rows(sets)
+    assert [(r["a_id"], r["b_id"]) for r in pairs.collect()] == [(0, 20_000)]
+    assert classed.filter("class = 0").count() == 20_000
+    assert sorted(r["id"] for r in removed.collect()) == list(range(1, 20_001))
+
+
+def test_the_pass_in_rounds_is_the_pass_on_the_driver(spark, monkeypatch):
+    import random
+
+    rng = random.Random(3)
+    pairs = {tuple(sorted(rng.sample(range(120), 2))) for _ in range(150)}
+    edges = spark.createDataFrame(sorted(pairs), "a_id long, b_id long")
+    want = sorted(r["id"] for r in similarity.greedy_removed(edges).collect())
+    monkeypatch.setattr(similarity, "DRIVER_PAIRS", 0)
+    assert sorted(r["id"] for r in similarity.greedy_removed(edges).collect()) == want and want
