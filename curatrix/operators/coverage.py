@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import heapq
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -36,25 +38,56 @@ def reassigned_coverage(assigned: DataFrame, nodes: DataFrame) -> DataFrame:
     return coverage(find_by_name(nodes, assigned), nodes)
 
 
-def trim(spark: SparkSession, rows: DataFrame, target: int, ord_col: str = "ord", paths_col: str = "paths") -> DataFrame:
-    """(ord, rank): rows chosen greedily for most unseen paths, ties to the earliest, at most ``target``.
+#: Distinct path sets that the driver takes in, at most.
+DRIVER_SETS = 1 << 16
 
-    Only the first row of each distinct path set can have a gain, and there are
-    few path sets; each round takes the best of them in one pass and stops when
-    no gain is left. All other rows follow in order.
-    """
-    sets = materialise(rows.groupBy(F.array_sort(F.array_distinct(paths_col)).alias("paths")).agg(F.min(ord_col).alias("ord")))
-    chosen: list[int] = []
+
+def _lazy_greedy(sets: list[tuple[int, list[str]]], target: int) -> list[int]:
+    """Rows in order of choice: a gain only ever falls, so the top of the heap is best once its gain is up to date."""
+    left = {o: set(paths) for o, paths in sets}
+    heap = [(-len(paths), o) for o, paths in left.items()]
+    heapq.heapify(heap)
     used: set[str] = set()
+    chosen: list[int] = []
+    while heap and len(chosen) < target:
+        gain, o = heapq.heappop(heap)
+        left[o] -= used
+        if len(left[o]) < -gain:
+            heapq.heappush(heap, (-len(left[o]), o))
+        elif gain:
+            chosen.append(o)
+            used |= left[o]
+        else:
+            break
+    return chosen
+
+
+def _greedy_rounds(sets: DataFrame, target: int) -> list[int]:
+    """The same, a pass over the path sets for each choice."""
+    chosen: list[int] = []
     best = sets.select("ord", "paths", F.size("paths").alias("gain"))
     while len(chosen) < target:
         got = best.filter("gain > 0").orderBy(F.desc("gain"), "ord").limit(1).collect()
         if not got:
             break
         chosen.append(got[0]["ord"])
-        used.update(got[0]["paths"])
-        known = F.array(*[F.lit(p) for p in sorted(used)])
-        best = materialise(best.select("ord", F.array_except("paths", known).alias("paths")).withColumn("gain", F.size("paths"))) if len(chosen) % 16 == 0 else best.select("ord", F.array_except("paths", F.array(*[F.lit(p) for p in got[0]["paths"]])).alias("paths")).withColumn("gain", F.size("paths"))
+        rest = best.select("ord", F.array_except("paths", F.array(*[F.lit(p) for p in got[0]["paths"]])).alias("paths")).withColumn("gain", F.size("paths"))
+        best = materialise(rest.filter("gain > 0"))
+    return chosen
+
+
+def trim(spark: SparkSession, rows: DataFrame, target: int, ord_col: str = "ord", paths_col: str = "paths") -> DataFrame:
+    """(ord, rank): rows chosen greedily for most unseen paths, ties to the earliest, at most ``target``.
+
+    Only the first row of each distinct path set can have a gain, and there are
+    few path sets: up to DRIVER_SETS the driver takes them lazily from a heap,
+    more are searched in distributed rounds. All other rows follow in order.
+    """
+    sets = materialise(rows.groupBy(F.array_sort(F.array_distinct(paths_col)).alias("paths")).agg(F.min(ord_col).alias("ord")))
+    if sets.count() <= DRIVER_SETS:
+        chosen = _lazy_greedy([(r["ord"], r["paths"]) for r in sets.collect()], target)
+    else:
+        chosen = _greedy_rounds(sets, target)
     first = spark.createDataFrame([(o, k) for k, o in enumerate(chosen)], "ord long, rank long")
     rest = rows.select(F.col(ord_col).cast("long").alias("ord")).join(first.select("ord"), "ord", "left_anti").orderBy("ord").limit(max(0, target - len(chosen)))
     numbered = rest.withColumn("rank", F.row_number().over(Window.orderBy("ord")) - 1 + len(chosen))

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -50,17 +52,47 @@ def global_diversity(u: DataFrame) -> DataFrame:
     return total.select(F.lit(n).cast("long").alias("count"), F.round(1 - (F.col("ss") - F.col("qq")) / (n * (n - 1)), 6).alias("global_diversity"))
 
 
+#: Elements of the vectors that are sent to every task whole, at most.
+BLOCK_VALUES = 1 << 22
+
+
 def local_diversity(u: DataFrame, k: int = 10) -> DataFrame:
     """(count, local_diversity): mean over rows of the mean distance to their min(k, n - 1) nearest.
 
-    All pairs are needed, so the input is meant to be capped first; the cross
-    join broadcasts only what the cap allows.
+    All pairs are compared, so the input is meant to be capped first. Up to
+    BLOCK_VALUES elements, each task multiplies its rows with all of them as
+    matrices; more rows are joined with each other.
     """
     n = u.count()
     if n < 2:
         return u.sparkSession.createDataFrame([(n, 0.0)], "count long, local_diversity double")
-    other = u.toDF("j", "w")
-    pairs = u.crossJoin(F.broadcast(other) if n <= 5000 else other).filter("id <> j")
-    far = 1 - F.aggregate(F.zip_with("u", "w", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
-    near = pairs.select("id", "j", far.alias("d")).withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy("d", "j"))).filter(F.col("r") <= k)
-    return near.groupBy("id").agg(F.avg("d").alias("m")).agg(F.lit(n).cast("long").alias("count"), F.round(F.avg("m"), 6).alias("local_diversity"))
+    dims = u.agg(F.min(F.size("u")).alias("least"), F.max(F.size("u")).alias("most")).first()
+    if dims["least"] == dims["most"] and n * dims["most"] <= BLOCK_VALUES:
+        near = _nearest_by_blocks(u, k)
+    else:
+        other = u.toDF("j", "w")
+        far = 1 - F.aggregate(F.zip_with("u", "w", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
+        pairs = u.crossJoin(other).filter("id <> j").select("id", "j", far.alias("d"))
+        near = pairs.withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy("d", "j"))).filter(F.col("r") <= k).groupBy("id").agg(F.avg("d").alias("m"))
+    return near.agg(F.lit(n).cast("long").alias("count"), F.round(F.avg("m"), 6).alias("local_diversity"))
+
+
+def _matrix(column) -> np.ndarray:
+    return np.asarray(column.flatten(), np.float64).reshape(len(column), -1)
+
+
+def _nearest_by_blocks(u: DataFrame, k: int) -> DataFrame:
+    """(m): each row's mean distance to its nearest others."""
+    every = u.toArrow().combine_chunks()
+    share = u.sparkSession.sparkContext.broadcast((every["id"].to_pylist(), _matrix(every["u"].combine_chunks())))
+
+    def run(it):
+        ids, x = share.value
+        place = {i: at for at, i in enumerate(ids)}
+        for batch in it:
+            d = 1 - _matrix(batch.column("u")) @ x.T
+            d[np.arange(len(d)), [place[i] for i in batch.column("id").to_pylist()]] = np.inf
+            most = min(k, len(ids) - 1)
+            yield pa.RecordBatch.from_arrays([pa.array(np.partition(d, most - 1, axis=1)[:, :most].mean(1))], ["m"])
+
+    return u.repartition(u.sparkSession.sparkContext.defaultParallelism).mapInArrow(run, "m double")

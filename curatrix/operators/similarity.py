@@ -64,7 +64,12 @@ def _grams(n: int):
         new = np.r_[True, (row[1:] != row[:-1]) | (acc[1:] != acc[:-1])] if len(row) else np.zeros(0, bool)
         return _lists(acc[new].view(np.int64), np.bincount(row[new], minlength=len(size)))
 
-    return F.arrow_udf(run, "array<bigint>")
+    return _once(run)
+
+
+def _once(run):
+    """A column function that filters on its result are not pushed through: they would run it again, and before the rows are spread."""
+    return F.arrow_udf(run, "array<bigint>").asNondeterministic()
 
 
 def gram_sets(rows: DataFrame, id_col: str, text_col: str, n: int = N) -> DataFrame:
@@ -114,7 +119,6 @@ def _prefix(sets: DataFrame, t: Fraction, level) -> DataFrame:
     """(id, size, gram): the n-grams of which two similar sets share one; ``level`` is the broadcast rarity."""
     num, den = t.numerator, t.denominator
 
-    @F.arrow_udf("array<bigint>")
     def front(grams: pa.Array) -> pa.Array:
         g, size = _flat(grams)
         row = np.repeat(np.arange(len(size)), size)
@@ -123,7 +127,7 @@ def _prefix(sets: DataFrame, t: Fraction, level) -> DataFrame:
         place = np.arange(len(g)) - np.repeat(np.cumsum(size) - size, size)
         return _lists(g[o][place < keep[row]], keep)
 
-    return sets.select("id", "size", F.explode(front(F.col("grams"))).alias("gram"))
+    return sets.select("id", "size", F.explode(_once(front)(F.col("grams"))).alias("gram"))
 
 
 def _reaches(t: Fraction, a: str, b: str):

@@ -36,12 +36,26 @@ def shared_folder(spark: SparkSession) -> str:
     if not where:
         if not (sc.master == "local" or sc.master.startswith("local[")):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        where = _folders.setdefault(sc.applicationId, tempfile.mkdtemp(prefix="curatrix-"))
+        if sc.applicationId not in _folders:
+            _folders[sc.applicationId] = tempfile.mkdtemp(prefix="curatrix-")
+        where = _folders[sc.applicationId]
     return where
 
 
 def materialise(df: DataFrame) -> DataFrame:
     """``df`` written to the shared folder and read again: its lineage ends there, and lost executors don't matter."""
     path = f"{shared_folder(df.sparkSession).rstrip('/')}/stage-{uuid.uuid4().hex}"
+    _stages.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+_stages: list[str] = []
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all tables that ``materialise`` made: for when the results that depend on them are saved."""
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    while _stages:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_stages.pop())
+        path.getFileSystem(conf).delete(path, True)

@@ -204,3 +204,20 @@ def test_the_pass_in_rounds_is_the_pass_on_the_driver(spark, monkeypatch):
     want = sorted(r["id"] for r in similarity.greedy_removed(edges).collect())
     monkeypatch.setattr(similarity, "DRIVER_PAIRS", 0)
     assert sorted(r["id"] for r in similarity.greedy_removed(edges).collect()) == want and want
+
+
+def test_the_trim_in_rounds_is_the_trim_on_the_driver(spark, monkeypatch):
+    rng = random.Random(4)
+    table = spark.createDataFrame([(i, [f"p{rng.randrange(12)}" for _ in range(rng.randrange(4))]) for i in range(60)], "ord long, paths array<string>")
+    want = sorted(map(tuple, coverage.trim(spark, table, 20).collect()))
+    monkeypatch.setattr(coverage, "DRIVER_SETS", 0)
+    assert sorted(map(tuple, coverage.trim(spark, table, 20).collect())) == want and len(want) == 20
+
+
+def test_local_diversity_by_blocks_and_by_pairs(spark, monkeypatch):
+    rng = random.Random(5)
+    table = spark.createDataFrame([(i, [rng.gauss(0, 1) for _ in range(4)] if i else [0.0] * 4) for i in range(40)], "id long, v array<double>")
+    u = diversity.units(table, "id", "v")
+    want = diversity.local_diversity(u, 5).first()
+    monkeypatch.setattr(diversity, "BLOCK_VALUES", 0)
+    assert abs(diversity.local_diversity(u, 5).first()["local_diversity"] - want["local_diversity"]) < 2e-6 and want["count"] == 40
