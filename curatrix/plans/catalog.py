@@ -20,6 +20,7 @@ from ..operators import taxonomy as X
 from ..session import materialise, table
 from ..sources import files
 from ..streaming.resume import checkpoint_counts
+from . import generated
 
 SEED, TARGET, MODEL = 11, 60, "encoder-1"
 LOW_THRESHOLD, LOW_N = "0.02", 5
@@ -43,11 +44,11 @@ def _query(sql: str | None = None):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(_QUERIES)
+    return _QUERIES | generated.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    return _SQL | generated.SQL
 
 
 # Text and set similarity.

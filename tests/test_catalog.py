@@ -15,12 +15,30 @@ def test_against_sql(spark, tiny, oracle, name):
 
 
 def test_without_sql(spark, tiny):
-    assert set(catalog.queries()) - set(catalog.oracle_sql()) == {"seeded_mixes", "elo_ratings"}
+    assert set(catalog.queries()) - set(catalog.oracle_sql()) == {"seeded_mixes", "elo_ratings", "meta_prompts"}
     mixes = catalog.queries()["seeded_mixes"](spark, tiny).collect()
     assert len(mixes) == 150 and all(r["error"] is None and r["mix"] for r in mixes)
     assert not any("EUROPE" in r["mix"] and "Brand#4/SMALL" in r["mix"] for r in mixes if r["strategy_id"] == "europe")
 
 
+def test_meta_prompts_draw_as_one_attempt_does(spark, tiny):
+    import random
+
+    from curatrix.operators import sampling
+    from curatrix.plans import generated, generation
+    from curatrix.plans.backend import Stub
+
+    tree = generation.build_taxonomy(spark, generated.settings(generated.QA), Stub())
+    strategy = {"id": "all", "roots": [f["name"] for f in tree["factors"]], "weight": 1.0, "never_combine": []}
+    got = {r["attempt_index"]: r for r in generated.meta_prompts(spark, tiny).collect()}
+    assert len(got) == 200 and 0 < sum(r["complexified"] for r in got.values()) < 200
+    for i in (0, 7, 199):
+        rng = random.Random(5 + i)
+        sampling.draw_strategy([strategy], rng)
+        mix = sampling.draw_mix(tree, strategy, rng)
+        assert got[i]["mix"] == " ".join("/".join(m["path"]) for m in mix) and got[i]["error"] is None
+
+
 def test_entry_and_registry(spark):
     import __spark_entry__ as entry
 
