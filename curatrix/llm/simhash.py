@@ -432,8 +432,10 @@ def keep_first(docs: DataFrame, origin: DataFrame | None = None, cell_rows: int
     common.tune(docs.sparkSession)
     prints = common.written(_prints(docs).filter("fp is not null"))
     if origin is not None:
-        mine = prints.select("doc_id").distinct()
-        came = origin.select("doc_id", "text").filter("text is not null").join(mine, "doc_id", "left_semi").select("doc_id", fingerprint(F.col("text")).alias("came"))
+        # Texts are not shuffled to find those that are still there: a bitmap of ids leaves most others out, the join below the rest.
+        mine = common.written(prints.select(F.xxhash64("doc_id").alias("id")).distinct())
+        here = origin.select("doc_id", "text").filter("text is not null").filter(common.may_have(F.xxhash64("doc_id"), mine, "id"))
+        came = here.select("doc_id", fingerprint(F.col("text")).alias("came"))
         came = came.filter("came is not null").groupBy("doc_id").agg(F.min("came").alias("came"), F.max("came").alias("other")).filter("came = other").select("doc_id", "came")
         both = prints.join(came, "doc_id", "left").select("doc_id", "key", F.explode(F.array_distinct(F.array("fp", F.coalesce("came", "fp")))).alias("fp"))
         prints = common.written(both)
