@@ -35,7 +35,8 @@ def main(argv: list[str] | None = None) -> int:
             runs.load_or_build_taxonomy(spark, cfg, backend, rebuild=True)
         if args.command in ("generate", "run"):
             final = runs.generate(spark, cfg, backend, args.resume, args.stop_after)
-            files.write_json(files.artifact(out, "cost_summary"), runs.cost_report(generation.call_log(spark.read.parquet(os.path.join(out, "raw")))))
+            calls = [generation.call_log(spark.read.parquet(os.path.join(out, t))) for t in ("meta_prompts", "raw")]
+            files.write_json(files.artifact(out, "cost_summary"), runs.cost_report(calls[0].unionByName(calls[1])))
             say(f"{final.count()} rows")
         if args.command in ("evaluate", "run"):
             rows = files.read_jsonl(spark, os.path.join(out, "final"), "attempt_index long, record string, taxonomy_mix " + sampling.MIX_DDL, tolerant=True)

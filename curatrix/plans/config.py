@@ -43,10 +43,11 @@ class Generation:
     complexity_ratio: float = 0.3
     max_refine_attempts: int = 1
     concurrency: int = 8
+    checkpoint_every: int = 1000
     dedupe: bool = True
 
     def check(self) -> list[str]:
-        bad = [f"generation.{n}: must be at least {low}" for n, low in (("target_size", 1), ("scenarios_per_mix", 1), ("concurrency", 1), ("max_refine_attempts", 0)) if getattr(self, n) < low]
+        bad = [f"generation.{n}: must be at least {low}" for n, low in (("target_size", 1), ("scenarios_per_mix", 1), ("concurrency", 1), ("checkpoint_every", 1), ("max_refine_attempts", 0)) if getattr(self, n) < low]
         if self.overgenerate_ratio < 1:
             bad.append("generation.overgenerate_ratio: must be at least 1")
         if not 0 <= self.complexity_ratio <= 1:
@@ -133,11 +134,15 @@ def sampling_for(models: dict[str, Any], sampling: dict[str, Any], role: str, ta
     return top, (models[role].get("extra_body") or {}) | {k: v for k, v in layers.items() if k not in TOP_LEVEL}
 
 
-def fingerprint(cfg: Config) -> str:
-    """Identity of what decides a run's content: sizes and concurrency are left out, so a run can be resumed larger."""
+def fingerprint(cfg: Config, tree: Any = None, strategies: Any = None) -> str:
+    """Identity of what decides a row's content, the tree, strategies and prompt module's text included.
+
+    Sizes, pace and what is done with finished rows are left out, so a run can be resumed larger.
+    """
     content = asdict(cfg)
-    for key in ("target_size", "overgenerate_ratio", "concurrency"):
+    for key in ("target_size", "overgenerate_ratio", "concurrency", "checkpoint_every", "dedupe"):
         content["generation"].pop(key)
     for key in ("evaluation", "project"):
         content[key] = {"seed": cfg.project.seed} if key == "project" else None
+    content |= {"prompts": Path(cfg.prompts).read_text(encoding="utf-8") if cfg.prompts else None, "tree": tree, "strategies": strategies}
     return hashlib.sha256(json.dumps(content, sort_keys=True, default=str).encode()).hexdigest()[:16]

@@ -198,7 +198,7 @@ def build_taxonomy(spark: SparkSession, cfg: Config, backend: Backend) -> dict[s
             after = []
             for node, path in level:
                 for kid in grown.get(tuple(path)) or []:
-                    child = {"name": kid["name"], "description": kid["description"] or "", "level": depth, "path": [*path, kid["name"]], "weight": 1.0, "children": []}
+                    child = {"name": kid["name"], "description": kid["description"] or "", "level": depth, "path": [*path, kid["name"]], "weight": kid["weight"], "children": []}
                     node["children"].append(child)
                     after.append((child, child["path"]))
             level = after
@@ -223,14 +223,14 @@ def _expand(spark: SparkSession, cfg: Config, backend: Backend, paths: list[list
                         kids = router.complete_json("critic", "taxonomy_critic", P.JSON_SYSTEM, builders["refine_nodes_prompt"](cfg.description, path, kids)).get("children", kids)
                     seen: dict[str, tuple] = {}
                     for k in kids:
-                        seen.setdefault(S.norm(k["name"]), (k["name"], k.get("description", "")))
+                        seen.setdefault(S.norm(k["name"]), (k["name"], k.get("description", ""), S.weight_of(k)))
                     out.append((path, list(seen.values())))
                 except Exception:  # noqa: BLE001 - a node that can't be expanded stays a leaf
                     out.append((path, []))
             yield pd.DataFrame(out, columns=["path", "children"])
 
     rows = spark.createDataFrame([(p,) for p in paths] or [], "path array<string>")
-    return rows.repartition(max(1, min(cfg.generation.concurrency, len(paths)))).mapInPandas(run, "path array<string>, children array<struct<name:string,description:string>>")
+    return rows.repartition(max(1, min(cfg.generation.concurrency, len(paths)))).mapInPandas(run, "path array<string>, children array<struct<name:string,description:string,weight:double>>")
 
 
 def build_strategies(spark: SparkSession, cfg: Config, nodes: DataFrame, backend: Backend) -> tuple[list[dict[str, Any]], list[str]]:

@@ -54,7 +54,7 @@ def generate(spark: SparkSession, cfg: Config, backend: Backend, resume: bool =
     nodes = X.from_tree(spark, tree)
     strategies = load_or_build_strategies(spark, cfg, nodes, backend)
     stop_at(stop_after, "strategies")
-    state_path, mark = files.artifact(out, "run_state"), fingerprint(cfg)
+    state_path, mark = files.artifact(out, "run_state"), fingerprint(cfg, tree, strategies)
     state = files.read_json(state_path)
     if resume and state and state["fingerprint"] != mark:
         raise ValueError("the configuration's content has changed since this run began; use another folder or start afresh")
@@ -62,11 +62,18 @@ def generate(spark: SparkSession, cfg: Config, backend: Backend, resume: bool =
     meta_path, raw_path = os.path.join(out, "meta_prompts"), os.path.join(out, "raw")
     if not resume and files._exists(spark, raw_path):
         _delete(spark, raw_path)
-    meta = _append_missing(spark, meta_path, attempts, lambda missing: G.meta_prompts(missing, cfg, tree, strategies, backend))
+    batch, target = cfg.generation.checkpoint_every, attempts.count()
+
+    def save(rows: DataFrame | None) -> None:
+        counts = {"n": 0, "a": 0} if rows is None else rows.agg(F.count("*").alias("n"), F.count_if("accepted").alias("a")).first()
+        files.write_json(state_path, {"attempted": counts["n"], "target_attempts": target, "accepted": counts["a"], "fingerprint": mark})
+
+    meta = _append_missing(spark, meta_path, attempts, batch, lambda missing: G.meta_prompts(missing, cfg, tree, strategies, backend))
     stop_at(stop_after, "meta_prompts")
-    raw = _append_missing(spark, raw_path, attempts, lambda missing: G.generate(meta.join(missing, "attempt_index", "left_semi"), cfg, backend))
-    counts = raw.agg(F.count("*").alias("n"), F.count_if("accepted").alias("a")).first()
-    files.write_json(state_path, {"attempted": counts["n"], "target_attempts": attempts.count(), "accepted": counts["a"], "fingerprint": mark})
+    # Before the first row too: rows never stand without the identity of what made them.
+    save(spark.read.parquet(raw_path) if files._exists(spark, raw_path) else None)
+    raw = _append_missing(spark, raw_path, attempts, batch, lambda missing: G.generate(meta.join(missing, "attempt_index", "left_semi"), cfg, backend), save)
+    save(raw)
     final = finalise(spark, cfg, raw)
     files.write_jsonl(final.drop("calls"), os.path.join(out, "final"))
     return final
@@ -77,14 +84,19 @@ def _delete(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def _append_missing(spark: SparkSession, path: str, attempts: DataFrame, make: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """The table at ``path`` with the attempts that it lacks appended."""
+def _append_missing(spark: SparkSession, path: str, attempts: DataFrame, batch: int, make: Callable[[DataFrame], DataFrame], done: Callable[[DataFrame], None] | None = None) -> DataFrame:
+    """The table at ``path`` with the attempts that it lacks appended, ``batch`` attempt numbers in a commit: a run that dies keeps all batches before."""
     if files._exists(spark, path):
         missing = attempts.join(spark.read.parquet(path).select("attempt_index"), "attempt_index", "left_anti")
     else:
         missing = attempts
-    if not missing.isEmpty():
-        make(materialise(missing)).write.mode("append").parquet(path)
+    missing = materialise(missing)
+    part = F.floor(F.col("attempt_index") / batch)
+    # One number for each commit, however many attempts a commit holds.
+    for r in missing.select(part.alias("part")).distinct().orderBy("part").collect():
+        make(missing.filter(part == r["part"])).write.mode("append").parquet(path)
+        if done:
+            done(spark.read.parquet(path))
     return spark.read.parquet(path)
 
 

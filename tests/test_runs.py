@@ -120,6 +120,43 @@ def test_a_run_resumes_and_is_evaluated(spark, tmp_path):
     assert calls["total_calls"] == sum(r["calls"] for r in calls["by_role_task_model"]) > 0
 
 
+def test_a_run_that_dies_keeps_its_batches(spark, tmp_path, monkeypatch):
+    c = cfg(tmp_path, target_size=10, overgenerate_ratio=1.0, checkpoint_every=4, concurrency=1)
+    whole, made = generation.generate, []
+
+    def dies(*args):
+        made.append(args[0])
+        if len(made) == 2:
+            raise OSError("lost")
+        return whole(*args)
+
+    monkeypatch.setattr(generation, "generate", dies)
+    with pytest.raises(OSError):
+        runs.generate(spark, c, Stub())
+    state = files.read_json(str(tmp_path / "run_state.json"))
+    assert state["attempted"] == 4 and state["target_attempts"] == 10
+    before = {r["attempt_index"]: r["created_at"] for r in spark.read.parquet(str(tmp_path / "raw")).collect()}
+    monkeypatch.setattr(generation, "generate", whole)
+    runs.generate(spark, c, Stub())
+    after = {r["attempt_index"]: r["created_at"] for r in spark.read.parquet(str(tmp_path / "raw")).collect()}
+    assert sorted(before) == [0, 1, 2, 3] and sorted(after) == list(range(10)) and all(after[i] == t for i, t in before.items())
+    strategies = files.read_json(str(tmp_path / "strategies.json"))
+    files.write_json(str(tmp_path / "strategies.json"), [s | {"weight": 2.0} for s in strategies])
+    with pytest.raises(ValueError, match="changed"):
+        runs.generate(spark, c, Stub())
+
+
+def test_proposed_nodes_keep_their_weights(spark):
+    class Heavy(Stub):
+        def answer(self, role, task, system, prompt, key):
+            if task != "node_expansion":
+                return super().answer(role, task, system, prompt, key)
+            return json.dumps({"children": [{"name": "a", "weight": 3}, {"name": "b"}, {"name": "c", "weight": "none"}]})
+
+    tree = generation.build_taxonomy(spark, cfg("x"), Heavy())
+    assert [k["weight"] for k in tree["factors"][0]["children"]] == [3.0, 1.0, 1.0]
+
+
 def test_a_failed_meta_row_is_rejected_without_calls():
     meta = {"attempt_index": 1, "error": "no mix", "meta_prompt": "", "taxonomy_mix": [], "strategy_id": "error", "complexified": False}
     got = dict(zip(generation._names(generation.ROW_DDL), generation.dataset_row(cfg("x"), Router(Stub(), "k", {}), prompts.load_builders(), meta)))
