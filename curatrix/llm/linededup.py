@@ -287,7 +287,8 @@ def removals(docs: DataFrame) -> DataFrame:
     common.release(spark)
     confirmed = _confirmed(texts, found, firsts).withColumn("all", F.lit(True))
     marks = common.written(firsts.join(confirmed, "s", "left").filter(F.col("all") | (F.col("f") != F.col("l"))).select("s", "f", "all"))
-    gone = places.join(common.side(marks), "s").filter(F.coalesce("all", F.lit(False)) | (place != F.col("f")))
+    # Most lines are told by a bitmap to have no mark, and are not shuffled.
+    gone = places.filter(common.may_have(F.col("s"), marks, "s")).join(common.side(marks), "s").filter(F.coalesce("all", F.lit(False)) | (place != F.col("f")))
     return gone.groupBy("key").agg(F.sort_array(F.collect_set("line")).alias("lines"))
 
 
@@ -384,7 +385,10 @@ def _unpacked(raw: bytes) -> np.ndarray:
 def _compare(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """(s, same): whether the two sets of each pair (s, t) have Jaccard similarity >= 4/5."""
     used = _only(sets, pairs).select("s", "set")
-    return pairs.join(used.toDF("s", "x"), "s").join(used.toDF("t", "y"), "t").select("s", F.arrow_udf(_similar, "boolean")("x", "y").alias("same"))
+    # No column is renamed below a join, so that both can read one shuffle.
+    x, y = used.alias("x"), used.alias("y")
+    both = pairs.alias("p").join(x, F.col("p.s") == F.col("x.s")).join(y, F.col("p.t") == F.col("y.s"))
+    return both.select(F.col("p.s").alias("s"), F.arrow_udf(_similar, "boolean")("x.set", "y.set").alias("same"))
 
 
 def _similar(x: pa.Array, y: pa.Array) -> pa.Array:
