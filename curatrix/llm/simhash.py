@@ -23,8 +23,12 @@ distances of unrelated fingerprints differ by less than the radius.)
 Only distinct fingerprints are searched, so groups of thousands of copies
 cost one fingerprint. No link is lost, and none is listed: a shard counts the
 links of its fingerprints, each pair in the first segment that finds it, and
-gives as many pairs as connect what its pairs connect. Classes are the
-connected components, and the document that is first by (doc_id nulls first,
+gives as many pairs as connect what its pairs connect. However many
+fingerprints share a value, a bounded number of pairs is held at once. Where
+only classes are asked for (``keep_first``), pairs that are connected already
+are passed over, so a group of near copies costs about its size, not its
+square; counting links looks at every pair. Classes are the connected
+components, and the document that is first by (doc_id nulls first,
 then text hash) stays.
 
 Defined results: null or blank text has no fingerprint, is never a near copy
@@ -58,6 +62,8 @@ CELL_ROWS = 1 << 20
 _ASKS = 1 << 18
 _LEAF = 48
 _VOTES = 100_000
+#: Pairs that a shard looks at at once; rows of a tile of two values that more have; pairs after which values of one class are left out.
+_AT_ONCE, _TILE, _RENEW = 1 << 18, 1 << 9, 1 << 23
 
 
 def _vote(h: np.ndarray) -> np.ndarray:
@@ -102,8 +108,8 @@ def _fingerprint(texts: pa.Array) -> pa.Array:
 
 
 def fingerprint(text):
-    """Column of 24-byte fingerprints."""
-    return F.arrow_udf(_fingerprint, "binary")(F.lower(text))
+    """Column of 24-byte fingerprints, computed once (a filter on a deterministic one would compute it again, in further Python workers)."""
+    return F.arrow_udf(_fingerprint, "binary").asNondeterministic()(F.lower(text))
 
 
 def _matrix(col) -> np.ndarray:
@@ -191,14 +197,38 @@ def near_values(points: np.ndarray, queries: np.ndarray, slack: int = NEAR):
         yield np.concatenate(left), np.concatenate(right)
 
 
-def _shard_pairs(home: np.ndarray, asks: np.ndarray, segment: int):
+def _of_one(label: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The label that all rows from each of ``at`` to the next have; -1 where they differ."""
+    low = np.minimum.reduceat(label, at)
+    return np.where(low == np.maximum.reduceat(label, at), low, -1)
+
+
+def _tiles(h: np.ndarray, q: np.ndarray, hs: np.ndarray, qs: np.ndarray, spare: int, classes):
+    """Chunks of (home, ask) indexes of ``h`` and ``q`` within ``spare`` in the sibling segment, tile by tile."""
+    for x in range(0, len(h), _TILE):
+        own, rest = h[x : x + _TILE], q
+        while len(rest):
+            if classes:
+                home, asked = classes(own, rest)
+                if (home == home[0]).all():
+                    rest = rest[asked != home[0]]
+            some, rest = rest[:_TILE], rest[_TILE:]
+            i, j = np.nonzero(_far(hs[own][:, None], qs[some][None, :]) <= spare)
+            if len(i):
+                yield own[i], some[j]
+
+
+def _shard_pairs(home: np.ndarray, asks: np.ndarray, segment: int, classes=None):
     """Chunks of (home, ask) indexes that agree to within NEAR bits in the segment and within PAIR_NEAR in it and its sibling.
 
     Segments are siblings in twos: of two fingerprints at most RADIUS apart,
     some two siblings together differ in at most PAIR_NEAR bits, and one of
     them in at most half of that. ``home`` and ``asks`` come sorted by the
     segment's value; only home values not above the ask's are given, as the
-    pair meets again in the other one's shard.
+    pair meets again in the other one's shard. However many rows have a value,
+    a chunk has ``_AT_ONCE`` pairs at most. ``classes(i, j)`` gives the classes
+    that home and ask rows are known to be in by then (-1: none); with it,
+    pairs of one class may be left out.
     """
     hv, qv = np.ascontiguousarray(home[:, segment]), np.ascontiguousarray(asks[:, segment])
     hs, qs = np.ascontiguousarray(home[:, segment ^ 1]), np.ascontiguousarray(asks[:, segment ^ 1])
@@ -208,22 +238,34 @@ def _shard_pairs(home: np.ndarray, asks: np.ndarray, segment: int):
     for p, q in near_values(hu, qu):
         ok = hu[p] <= qu[q]
         p, q = p[ok], q[ok]
-        spare = (PAIR_NEAR - _far(hu[p], qu[q])).astype(np.uint8)
-        ends = np.cumsum(hc[p] * qc[q])
-        lo = 0
-        while lo < len(p):
-            hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + (1 << 18), "right")))
-            pp, qq = p[lo:hi], q[lo:hi]
-            n = hc[pp]
-            i = np.repeat(hat[pp] - np.r_[0, np.cumsum(n)[:-1]].astype(np.int32), n) + np.arange(n.sum(), dtype=np.int32)
-            which = np.repeat(np.arange(len(pp), dtype=np.int32), n)
-            n = qc[qq][which]
-            j = np.repeat(qat[qq][which] - np.r_[0, np.cumsum(n)[:-1]].astype(np.int32), n) + np.arange(n.sum(), dtype=np.int32)
-            i, left = np.repeat(i, n), np.repeat(spare[lo:hi][which], n)
-            ok = np.flatnonzero(_far(hs[i], qs[j]) <= left)
-            if len(ok):
-                yield i[ok], j[ok]
-            lo = hi
+        while len(p):
+            if classes:
+                known, asked = classes(slice(None), slice(None))
+                known, asked = _of_one(known, hat), _of_one(asked, qat)
+                ok = (known[p] < 0) | (known[p] != asked[q])
+                p, q = p[ok], q[ok]
+            spare = (PAIR_NEAR - _far(hu[p], qu[q])).astype(np.uint8)
+            ends = np.cumsum(hc[p] * qc[q])
+            lo = 0
+            while lo < len(p) and not (classes and lo and ends[lo - 1] > _RENEW):
+                hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + _AT_ONCE, "right")))
+                pp, qq = p[lo:hi], q[lo:hi]
+                if hi == lo + 1 and hc[pp[0]] * qc[qq[0]] > _AT_ONCE:
+                    h, a = (np.arange(at, at + n, dtype=np.int32) for at, n in ((hat[pp[0]], hc[pp[0]]), (qat[qq[0]], qc[qq[0]])))
+                    yield from _tiles(h, a, hs, qs, int(spare[lo]), classes)
+                    lo = hi
+                    continue
+                n = hc[pp]
+                i = np.repeat(hat[pp] - np.r_[0, np.cumsum(n)[:-1]].astype(np.int32), n) + np.arange(n.sum(), dtype=np.int32)
+                which = np.repeat(np.arange(len(pp), dtype=np.int32), n)
+                n = qc[qq][which]
+                j = np.repeat(qat[qq][which] - np.r_[0, np.cumsum(n)[:-1]].astype(np.int32), n) + np.arange(n.sum(), dtype=np.int32)
+                i, left = np.repeat(i, n), np.repeat(spare[lo:hi][which], n)
+                ok = np.flatnonzero(_far(hs[i], qs[j]) <= left)
+                if len(ok):
+                    yield i[ok], j[ok]
+                lo = hi
+            p, q = p[lo:], q[lo:]
 
 
 def _verified(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -268,12 +310,13 @@ def _first_found(home: np.ndarray, asks: np.ndarray, segment: int) -> np.ndarray
 class _Shard:
     """A shard's home fingerprints and what is found of them; queries are streamed past."""
 
-    def __init__(self, home: pa.Table, segment: int, forest: bool):
+    def __init__(self, home: pa.Table, segment: int, forest: bool, counts: bool):
         fid, fps = home["fid"].to_numpy(), _matrix(home["fp"])
         o = np.argsort(segments(fps)[:, segment], kind="stable")
         self.fid, self.fps, self.docs = fid[o], fps[o], home["docs"].to_numpy()[o]
-        self.segment, self.forest = segment, forest
+        self.segment, self.forest, self.counts = segment, forest, counts
         self.links, self.label = np.zeros(len(o), np.int64), np.arange(len(o))
+        self.by_fid = None if counts else np.argsort(self.fid)
 
     def ask(self, asks: pa.Table):
         """Rows of what is found: pairs, or the queries' counts of links."""
@@ -282,18 +325,28 @@ class _Shard:
         fid, fps, docs = fid[o], fps[o], docs[o]
         hseg, qseg = segments(self.fps), segments(fps)
         links, done = np.zeros(len(fid), np.int64), np.full(len(fid), -1, np.int64)
-        for i, j in _shard_pairs(hseg, qseg, self.segment):
+        if not self.counts:
+            # A query that is at home here is its own first partner, so that its class is known.
+            at = self.by_fid[np.minimum(np.searchsorted(self.fid, fid, sorter=self.by_fid), len(self.fid) - 1)]
+            done = np.where(self.fid[at] == fid, at, -1)
+
+        def classes(i, j):
+            return self.label[i], np.where(done[j] < 0, -1, self.label[done[j]])
+
+        for i, j in _shard_pairs(hseg, qseg, self.segment, None if self.counts else classes):
             i, j = i.astype(np.int64), j.astype(np.int64)
             # Of fingerprints with one value each is home and query to the other: once is enough.
             ok = (self.fid[i] < fid[j]) | ((hseg[i, self.segment] != qseg[j, self.segment]) & (self.fid[i] != fid[j]))
             i, j, d = _verified(self.fps, fps, i[ok], j[ok])
-            ok = _first_found(hseg[i], qseg[j], self.segment)
-            i, j, d = i[ok], j[ok], d[ok]
+            if self.counts:
+                ok = _first_found(hseg[i], qseg[j], self.segment)
+                i, j, d = i[ok], j[ok], d[ok]
             if not len(i):
                 continue
-            if self.forest:
+            if self.counts and self.forest:
                 self.links += np.bincount(i, docs[j], len(self.links)).astype(np.int64)
                 links += np.bincount(j, self.docs[i], len(links)).astype(np.int64)
+            if self.forest:
                 # The first partner of each query is its link; others are merged with that one.
                 fresh = np.flatnonzero(done[j] < 0)
                 _, one = np.unique(j[fresh], return_index=True)
@@ -322,9 +375,10 @@ class _Shard:
         return pa.RecordBatch.from_arrays([pa.array(fid[some]), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), pa.array(links[some])], schema=_FOUND)
 
 
-def _search(prints: DataFrame, rows: int, cell_rows: int, forest: bool) -> DataFrame:
+def _search(prints: DataFrame, rows: int, cell_rows: int, forest: bool, counts: bool = True) -> DataFrame:
     """(a, b, distance, links): pairs a < b of the distinct fingerprints ``prints`` (fid, fp, docs), each once; with ``forest`` only
-    as many as connect what they connect, and rows with null b that add up to the number of documents that ``a`` is linked to."""
+    as many as connect what they connect, and rows with null b that add up to the number of documents that ``a`` is linked to. Without
+    ``counts`` a forest has no such rows, pairs that are connected already are not looked at, and some come from several segments."""
     depth = max(0, int(np.ceil(np.log2(max(rows, 1) / cell_rows))))
     every = np.random.default_rng(7).permutation(1 << SEGMENT_BITS).astype(np.uint16)
     # A tree over all 2**16 values needs no look at the data and serves every segment.
@@ -369,7 +423,7 @@ def _search(prints: DataFrame, rows: int, cell_rows: int, forest: bool) -> DataF
             if home is not None:
                 if own and forest:
                     yield from own.close()
-                own, number = _Shard(home, int(cell_of[shard]) // cells, forest), shard
+                own, number = _Shard(home, int(cell_of[shard]) // cells, forest, counts), shard
             else:
                 held.append(asks)
                 size += asks.num_rows
@@ -392,18 +446,21 @@ def _prints(docs: DataFrame) -> DataFrame:
     return docs.filter(F.col("text").isNotNull()).select("doc_id", common.row_key().alias("key"), fingerprint(F.col("text")).alias("fp"))
 
 
-def _classes(prints: DataFrame, cell_rows: int) -> DataFrame:
+def _classes(prints: DataFrame, cell_rows: int, counts: bool = True) -> DataFrame:
     """(fp, root, links) of the fingerprints of ``prints`` (key, doc_id, fp) that several documents have or that are near others.
 
     Fingerprints that one document has two of are of one class. ``links``
-    counts the documents at most RADIUS away, the document itself left out.
+    counts the documents at most RADIUS away, the document itself left out;
+    it is there with ``counts`` only.
     """
     each = prints.filter("fp is not null").select("fp", "key").distinct()
     heads = common.written(each.groupBy("fp").agg(F.count("*").alias("docs")).select(F.xxhash64("fp").alias("fid"), "fp", "docs"))
-    found = common.written(_search(heads.repartition(common.parts(prints.sparkSession)), heads.count(), cell_rows, True))
+    found = common.written(_search(heads.repartition(common.parts(prints.sparkSession)), heads.count(), cell_rows, True, counts))
     edges = found.filter("b is not null").select("a", "b")
     twice = each.groupBy("key").agg(F.min("fp").alias("x"), F.max("fp").alias("y")).filter("x <> y")
     comp = common.components(edges.union(twice.select(F.xxhash64("x"), F.xxhash64("y")))).withColumnRenamed("node", "fid")
+    if not counts:
+        return common.written(heads.join(comp, "fid", "left").filter("root is not null or docs > 1").select("fp", F.coalesce("root", "fid").alias("root")))
     links = found.filter("b is null").groupBy(F.col("a").alias("fid")).agg(F.sum("links").alias("near"))
     grouped = heads.join(comp, "fid", "left").join(links, "fid", "left").filter("root is not null or docs > 1")
     return common.written(grouped.select("fp", F.coalesce("root", "fid").alias("root"), (F.coalesce("near", F.lit(0)) + F.col("docs") - 1).alias("links")))
@@ -439,7 +496,7 @@ def keep_first(docs: DataFrame, origin: DataFrame | None = None, cell_rows: int
         came = came.filter("came is not null").groupBy("doc_id").agg(F.min("came").alias("came"), F.max("came").alias("other")).filter("came = other").select("doc_id", "came")
         both = prints.join(came, "doc_id", "left").select("doc_id", "key", F.explode(F.array_distinct(F.array("fp", F.coalesce("came", "fp")))).alias("fp"))
         prints = common.written(both)
-    groups = prints.join(common.side(_classes(prints, cell_rows)), "fp").select("key", "doc_id", "root").distinct()
+    groups = prints.join(common.side(_classes(prints, cell_rows, False)), "fp").select("key", "doc_id", "root").distinct()
     first = F.min(F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", "key")).alias("stays")
     groups = common.written(groups)
     best = common.written(groups.groupBy("root").agg(first).select("root", "stays"))

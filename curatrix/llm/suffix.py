@@ -481,8 +481,8 @@ def remove_repeats(docs: DataFrame, hot_words: int = HOT_WORDS) -> DataFrame:
     cuts = union_spans(spans(_keyed(docs)[0], hot_words)).groupBy("key").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("s"))
     cuts = common.written(cuts.select(F.col("key").alias(other), F.col("s").alias(spans_)))
     joined = common.attach(docs.withColumn(key, common.row_key()), key, cuts, other)
-    # Only texts with a span go through Python.
-    left = F.arrow_udf(_cut, "string")(F.when(F.col(spans_).isNotNull(), F.col("text")), F.col(spans_))
+    # Only texts with a span go through Python, and once: a filter on a deterministic function would call it again, in further workers.
+    left = F.arrow_udf(_cut, "string").asNondeterministic()(F.when(F.col(spans_).isNotNull(), F.col("text")), F.col(spans_))
     done = joined.withColumn(other, left).filter(F.col(spans_).isNull() | F.col(other).rlike(r"[^\x00-\x20]"))
     done = done.withColumn("text", F.coalesce(F.col(other), F.col("text")))
     if "n_chars" in docs.columns:

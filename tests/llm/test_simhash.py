@@ -74,6 +74,47 @@ def test_a_hot_cell_is_cut_and_loses_nothing(spark):
     assert len(got) == len({(r["a"], r["b"]) for r in got}) == int((np.triu(d <= simhash.RADIUS, 1)).sum())
 
 
+def _noisy(rng, n: int, flip: float, centre: np.ndarray) -> np.ndarray:
+    bits = np.tile(centre, (n, 1)) ^ (rng.random((n, simhash.BITS)) < flip).astype(np.uint8)
+    return np.unique(np.packbits(bits, axis=1).view(np.uint64), axis=0)
+
+
+def test_a_hot_value_is_never_held_in_all_its_pairs():
+    import tracemalloc
+
+    rng = np.random.default_rng(11)
+    fps = _noisy(rng, 2500, 0.03, rng.integers(0, 2, simhash.BITS).astype(np.uint8))
+    seg = simhash.segments(fps)
+    seg[:, :2] = 7, 9
+    tracemalloc.start()
+    sizes = [len(i) for i, _ in simhash._shard_pairs(seg, seg, 0)]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(sizes) == len(fps) ** 2 and max(sizes) <= 1 << 18 and peak < 32 << 20
+
+
+def test_classes_without_counts_match_brute_force(monkeypatch):
+    for name, value in (("_AT_ONCE", 64), ("_TILE", 8), ("_RENEW", 256)):
+        monkeypatch.setattr(simhash, name, value)
+    rng = np.random.default_rng(12)
+    centres = rng.integers(0, 2, (6, simhash.BITS)).astype(np.uint8)
+    fps = np.concatenate([_noisy(rng, n, flip, c) for c, n, flip in zip(centres, (90, 60, 60, 40, 40, 80), (0.02, 0.05, 0.1, 0.12, 0.15, 0.5))])
+    simhash.segments(fps)[:, 3] = 7  # one value that all have
+    near = np.bitwise_count(fps[:, None] ^ fps[None]).sum(2) <= simhash.RADIUS
+    want = simhash._join(np.arange(len(fps)), *np.nonzero(near))
+    fids = rng.permutation(len(fps))
+    tables = [pa.table({"fid": fids[k], "fp": pa.array([f.tobytes() for f in fps[k]], pa.binary()), "docs": np.ones(len(k), np.int64)}) for k in np.array_split(rng.permutation(len(fps)), 3)]
+    got = np.arange(len(fps))
+    for segment in range(simhash.SEGMENTS):
+        for home in tables:  # each query is at home in one shard only
+            shard = simhash._Shard(home, segment, True, False)
+            batches = [b for asks in tables for b in shard.ask(asks)] + list(shard.close())
+            found = pa.Table.from_batches(batches)
+            assert found["b"].null_count == 0
+            got = simhash._join(got, found["a"].to_numpy(), found["b"].to_numpy())
+    assert len(set(want)) > 40 and len({(w, g) for w, g in zip(want, got[fids])}) == len(set(want)) == len(set(got))
+
+
 def test_copies_by_the_texts_as_they_came(spark):
     words = [f"w{i}" for i in range(90)]
     a, b = " ".join(words), " ".join([*words[:88], "x", "y"])
