@@ -107,10 +107,10 @@ def attempt_index(index: Column, item_id: Column) -> Column:
 
 
 def duration_text(seconds: Column) -> Column:
-    """Seconds as 1h02m, 2m03s or 5s."""
+    """Seconds as 1h02m, 2m03s or 5s; null stays null."""
     s = F.round(seconds).cast("long")
     hours, minutes = F.floor(s / 3600), F.floor(s % 3600 / 60)
-    return F.when(s >= 3600, F.format_string("%dh%02dm", hours, minutes)).when(s >= 60, F.format_string("%dm%02ds", minutes, s % 60)).otherwise(F.format_string("%ds", s))
+    return F.when(s >= 3600, F.format_string("%dh%02dm", hours, minutes)).when(s >= 60, F.format_string("%dm%02ds", minutes, s % 60)).when(s.isNotNull(), F.format_string("%ds", s))
 
 
 def cost_estimate(in_tokens: Column, out_tokens: Column, per_million_in: float = 0.05, per_million_out: float = 0.40) -> Column:

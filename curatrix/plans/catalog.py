@@ -572,7 +572,10 @@ def token_estimate(spark, d):
 select user_id, case when s >= 3600 then (s // 3600) || 'h' || lpad((s % 3600 // 60)::varchar, 2, '0') || 'm' when s >= 60 then (s // 60) || 'm' || lpad((s % 60)::varchar, 2, '0') || 's' else s || 's' end as spent from s"""
 )
 def duration_text(spark, d):
-    return table(spark, d, "events").groupBy("user_id").agg((F.sum("value") * 10).alias("s")).select("user_id", T.duration_text(F.col("s")).alias("spent"))
+    """Values are added in the order of events: halves are rounded as their sum's last bits fall, which partial sums would change."""
+    order = Window.partitionBy("user_id").orderBy("event_id", "value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    summed = table(spark, d, "events").select("user_id", F.row_number().over(order).alias("n"), F.sum("value").over(order).alias("s"))
+    return summed.groupBy("user_id").agg((F.max_by("s", "n") * 10).alias("s")).select("user_id", T.duration_text(F.col("s")).alias("spent"))
 
 
 def _rows(spark: SparkSession, d: str) -> DataFrame:

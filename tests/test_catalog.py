@@ -44,3 +44,17 @@ def test_entry_and_registry(spark):
 
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert entry.entry(spark).columns == ["metric", "value"]
+
+
+def test_durations_are_summed_in_order(spark, tmp_path):
+    import random
+
+    import duckdb
+
+    rng = random.Random(3)
+    events = [(i, i % 1500, None if i % 1500 == 0 else round(rng.expovariate(1 / 50), 2)) for i in range(90_000)]
+    spark.createDataFrame(events, "event_id long, user_id long, value double").repartitionByRange(4, "event_id").sortWithinPartitions("event_id").write.parquet(f"{tmp_path}/events.parquet")
+    con = duckdb.connect()
+    con.execute("set threads = 1")
+    con.execute(f"create view events as select * from read_parquet('{tmp_path}/events.parquet/*.parquet')")
+    assert not differences(catalog.queries()["duration_text"](spark, str(tmp_path)), catalog.oracle_sql()["duration_text"], con)
