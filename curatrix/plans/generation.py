@@ -56,14 +56,14 @@ def check_record(schema: dict[str, Any] | None, record: Any, at: str = "$") -> s
     return None
 
 
-def meta_row(cfg: Config, tree: dict[str, Any], strategies: list[dict[str, Any]], router: Router, builders: dict, index: int) -> tuple:
+def meta_row(cfg: Config, draws: S.Draws, strategies: list[dict[str, Any]], router: Router, builders: dict, index: int) -> tuple:
     """One attempt's strategy, mix and prompt; what fails is said in ``error``."""
     rng = random.Random(cfg.project.seed + index)
     strategy_id, mix, prompt, hard, error = "error", [], "", False, None
     try:
         strategy = S.draw_strategy(strategies, rng)
         strategy_id = strategy.get("id", "general")
-        mix = S.draw_mix(tree, strategy, rng)
+        mix = draws.mix(strategy, rng)
         got = router.complete_json("bulk", "meta_prompt", P.JSON_SYSTEM, builders["meta_prompt_prompt"](cfg.description, cfg.schema, mix, cfg.generation.scenarios_per_mix))
         prompt = rng.choice(got.get("meta_prompts") or ["Write one item."])
         hard = rng.random() < cfg.generation.complexity_ratio
@@ -150,9 +150,9 @@ def meta_prompts(attempts: DataFrame, cfg: Config, tree: dict[str, Any], strateg
     builders_path = cfg.prompts
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        builders = P.load_builders(builders_path)
+        builders, draws = P.load_builders(builders_path), S.Draws(tree)
         for frame in it:
-            yield pd.DataFrame([meta_row(cfg, tree, strategies, _router(cfg, backend, f"meta:{i}"), builders, int(i)) for i in frame["attempt_index"]], columns=_names(META_DDL))
+            yield pd.DataFrame([meta_row(cfg, draws, strategies, _router(cfg, backend, f"meta:{i}"), builders, int(i)) for i in frame["attempt_index"]], columns=_names(META_DDL))
 
     return attempts.repartition(cfg.generation.concurrency, "attempt_index").mapInPandas(run, META_DDL)
 

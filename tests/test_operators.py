@@ -116,6 +116,42 @@ def test_seeded_mixes_replay_pythons_generator(spark):
         assert got[i]["strategy_id"] == s["id"] and [m["path"] for m in got[i]["taxonomy_mix"]] == [m["path"] for m in sampling.draw_mix(TREE, s, rng)]
 
 
+def _plain_mix(tree, strategy, rng):
+    """The draws of one mix as they are defined, looking at the whole tree each time."""
+    every = lambda n: [n] + [m for kid in n.get("children") or [] for m in every(kid)]
+    key = lambda n: sampling.key_of_path(n.get("path") or [n["name"]])
+
+    def leaf(factor):
+        own, roots = sampling.key_of_path([factor["name"]]), [sampling.key_of_root(r) for r in strategy["roots"]]
+        named = [] if own in roots else [n for n in every(factor) if key(n) in [r for r in roots if r[:1] == own]]
+        return sampling.descend(sampling.pick(named, rng) if named else factor, rng)
+
+    for _ in range(sampling.MAX_REDRAWS):
+        got = [leaf(f) for f in tree["factors"]]
+        under = lambda side: any(key(n)[: len(side)] == side for n in got)  # noqa: B023, E731
+        if not any(under(sampling.key_of_root(a)) and under(sampling.key_of_root(b)) for a, b in strategy.get("never_combine", [])):
+            return [n["path"] for n in got]
+    return []
+
+
+def test_seeded_mixes_look_at_the_tree_once_and_use_all_tasks(spark, monkeypatch):
+    plans = [{"id": "a", "roots": []}, {"id": "b", "roots": ["pov/small", "pov.big", "pov/none"], "weight": 2}, {"id": "c", "roots": ["pov/small", "pov"], "never_combine": [["pov/small", "form/plain"]]}, {"id": "d", "roots": ["x"], "never_combine": [["pov", "form"]]}]
+    mixes = sampling.seeded_mixes(spark.range(0, 400, 1, 1).toDF("attempt_index"), TREE, plans, 9)
+    assert mixes.rdd.getNumPartitions() > 1
+    for r in mixes.collect():
+        rng = random.Random(9 + r["attempt_index"])
+        s = sampling.draw_strategy(plans, rng)
+        assert r["strategy_id"] == s["id"] and [m["path"] for m in r["taxonomy_mix"]] == _plain_mix(TREE, s, rng) and bool(r["error"]) == (s["id"] == "d")
+    asked = []
+    monkeypatch.setattr(sampling, "norm", lambda x, norm=sampling.norm: asked.append(x) or norm(x))
+    draws, rng = sampling.Draws(TREE), random.Random(1)
+    draws.mix(plans[1], rng)
+    once = len(asked)
+    for _ in range(100):
+        draws.mix(plans[1], rng)
+    assert len(asked) == once > 0
+
+
 def test_coverage_counts_beginnings_and_strangers(spark):
     nodes = X.from_tree(spark, TREE)
     paths = spark.createDataFrame([("form", ["form", "plain"]), ("form", ["form", "x"]), ("form", ["form", "y"]), ("gone", ["gone"])], "factor string, path array<string>")
