@@ -21,12 +21,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..session import materialise
+from ..session import bounded, materialise, trim
 
 N, THRESHOLD = 13, "0.8"
 #: Similar pairs that the driver takes in order itself, at most; more are settled in distributed rounds.
 DRIVER_PAIRS = 1 << 18
 _BITS, _BLOCK = 20, 1 << 16
+#: N-grams or words of the rows that a worker works on at once.
+_AT_ONCE = 1 << 18
 _P = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -45,6 +47,20 @@ def _flat(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return lists.flatten().to_numpy(zero_copy_only=False), lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
 
 
+def _sliced(run):
+    """``run``, a function of an Arrow list column, over slices of about ``_AT_ONCE`` values: what it needs does not grow with the batch."""
+
+    def whole(lists: pa.Array) -> pa.Array:
+        size = lists.value_lengths().to_numpy(zero_copy_only=False)
+        part = (np.cumsum(size) - size) // _AT_ONCE
+        cuts = np.r_[np.flatnonzero(np.r_[True, part[1:] != part[:-1]]), len(size)] if len(size) else np.array([0, 0])
+        out = pa.concat_arrays([run(lists.slice(a, b - a)) for a, b in zip(cuts, cuts[1:])])
+        trim()
+        return out
+
+    return whole
+
+
 def _grams(n: int):
     """Column function: the distinct hashes of the n-word runs of an array of word hashes, sorted; a shorter text is one run."""
 
@@ -69,12 +85,12 @@ def _grams(n: int):
 
 def _once(run):
     """A column function that filters on its result are not pushed through: they would run it again, and before the rows are spread."""
-    return F.arrow_udf(run, "array<bigint>").asNondeterministic()
+    return F.arrow_udf(_sliced(run), "array<bigint>").asNondeterministic()
 
 
 def gram_sets(rows: DataFrame, id_col: str, text_col: str, n: int = N) -> DataFrame:
     """(id, grams, size) of the rows that have words, written."""
-    spark = rows.sparkSession
+    spark = bounded(rows.sparkSession)
     spread = rows.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "id")
     hashed = F.transform(T.tokens(F.coalesce("text", F.lit(""))), lambda w: F.xxhash64(w))
     return materialise(spread.select("id", _grams(n)(hashed).alias("grams")).withColumn("size", F.size("grams")).filter("size > 0"))
@@ -101,7 +117,9 @@ def _levels(sets: DataFrame) -> np.ndarray:
         total = np.zeros(1 << _BITS, np.int64)
         for batch in it:
             values, _ = _flat(batch.column(0))
-            total += np.bincount(values.view(np.uint64) >> np.uint64(64 - _BITS), minlength=1 << _BITS)
+            for k in range(0, len(values), _AT_ONCE):
+                np.add.at(total, values[k : k + _AT_ONCE].view(np.uint64) >> np.uint64(64 - _BITS), 1)
+        trim()
         n = (1 << _BITS) // _BLOCK
         yield pa.RecordBatch.from_arrays([pa.array(range(n), pa.int32()), pa.array([total[i * _BLOCK : (i + 1) * _BLOCK].tobytes() for i in range(n)], pa.binary())], ["block", "counts"])
 
@@ -149,9 +167,9 @@ def _rarity(sets: DataFrame):
 
 def similar_pairs(sets: DataFrame, threshold: str = THRESHOLD) -> DataFrame:
     """(a_id, b_id, shared, union), a_id < b_id, of all pairs with Jaccard >= threshold: of classes, where copies are not to be paired."""
-    t, level = Fraction(threshold), _rarity(sets)
-    left = _prefix(sets, t, level).toDF("a_id", "a_n", "gram")
-    right = _prefix(sets, t, level).toDF("b_id", "b_n", "gram")
+    t = Fraction(threshold)
+    front = materialise(_prefix(sets, t, _rarity(sets)))
+    left, right = front.toDF("a_id", "a_n", "gram"), front.toDF("b_id", "b_n", "gram")
     pairs = left.join(right, "gram").filter((F.col("a_id") < F.col("b_id")) & _reaches(t, "a_n", "b_n")).select("a_id", "b_id").distinct()
     return _similar(pairs, sets, sets, t)
 
@@ -208,7 +226,12 @@ def removed_rows(sets: DataFrame, threshold: str = THRESHOLD) -> tuple[DataFrame
 def dedupe(rows: DataFrame, id_col: str, text_col: str, n: int = N, threshold: str = THRESHOLD) -> tuple[DataFrame, DataFrame]:
     """(kept rows, removed ids). Rows are taken in order of their id; rows without words are never duplicates."""
     removed, _, _ = removed_rows(gram_sets(rows, id_col, text_col, n), threshold)
-    return rows.join(removed.select(F.col("id").alias(id_col)), id_col, "left_anti"), removed
+    return without(rows, removed, id_col), removed
+
+
+def without(rows: DataFrame, removed: DataFrame, id_col: str = "id") -> DataFrame:
+    """``rows`` without those whose id is among the removed."""
+    return rows.join(removed.select(F.col("id").alias(id_col)), id_col, "left_anti")
 
 
 def decontaminate(rows: DataFrame, id_col: str, text_col: str, reference: DataFrame, ref_id: str, ref_text: str, n: int = N, threshold: str = THRESHOLD) -> tuple[DataFrame, DataFrame]:
@@ -217,4 +240,13 @@ def decontaminate(rows: DataFrame, id_col: str, text_col: str, reference: DataFr
     classed = classes(sets)
     gone = contaminated(representatives(sets, classed), gram_sets(reference, ref_id, ref_text, n), threshold)
     gone = materialise(classed.join(gone.select(F.col("id").alias("class")), "class", "left_semi").select("id"))
-    return rows.join(gone.select(F.col("id").alias(id_col)), id_col, "left_anti"), gone
+    return without(rows, gone, id_col), gone
+
+
+def dedupe_decontaminate(rows: DataFrame, id_col: str, text_col: str, reference: DataFrame, ref_id: str, ref_text: str, n: int = N, threshold: str = THRESHOLD) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rows left, ids of duplicates, ids of the contaminated among the others): as one after the other, but n-grams are made once."""
+    sets = gram_sets(rows, id_col, text_col, n)
+    removed = materialise(removed_rows(sets, threshold)[0])
+    # What is left has no two equal sets.
+    gone = materialise(contaminated(without(sets, removed), gram_sets(reference, ref_id, ref_text, n), threshold))
+    return without(rows, removed.union(gone), id_col), removed, gone

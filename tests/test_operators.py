@@ -257,3 +257,20 @@ def test_local_diversity_by_blocks_and_by_pairs(spark, monkeypatch):
     want = diversity.local_diversity(u, 5).first()
     monkeypatch.setattr(diversity, "BLOCK_VALUES", 0)
     assert abs(diversity.local_diversity(u, 5).first()["local_diversity"] - want["local_diversity"]) < 2e-6 and want["count"] == 40
+
+
+def test_sets_are_made_in_slices_of_a_batch(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    seen, lists = [], pa.array([[1, 2, 3], [], [4] * 50, [5, 6], [7], []] * 40, pa.list_(pa.int64()))
+    monkeypatch.setattr(similarity, "_AT_ONCE", 64)
+    run = similarity._sliced(lambda part: seen.append(len(part.flatten())) or pa.array([x[::-1] for x in part.to_pylist()], part.type))
+    assert run(lists).to_pylist() == [x[::-1] for x in lists.to_pylist()]
+    assert sum(seen) == len(lists.flatten()) and max(seen) <= 64 + 50
+    assert len(run(lists.slice(3, 0))) == 0 and np.array_equal(run(lists.slice(2, 3)).to_pylist()[1], [6, 5])
+
+
+def test_batches_are_bounded_where_sets_are_made(spark):
+    similarity.gram_sets(rows(spark, "some words"), "id", "text")
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 1024
