@@ -689,10 +689,8 @@ union all select 'coverage.source', (select count(distinct source) from clean) /
 def evaluate_report(spark, d):
     """What is left after deduplication and decontamination, and what it covers."""
     docs = _documents(spark, d)
-    kept, removed = similarity.dedupe(docs, "doc_id", "text")
-    kept = materialise(kept)
-    clean, bad = similarity.decontaminate(kept, "doc_id", "text", table(spark, d, "benchmark"), "item_id", "text")
-    clean = materialise(clean)
+    clean, removed, bad = similarity.dedupe_decontaminate(docs, "doc_id", "text", table(spark, d, "benchmark"), "item_id", "text")
+    clean = materialise(clean.select("lang", "source"))
     roots = spark.createDataFrame([("lang", ["lang"]), ("source", ["source"])], "factor string, path array<string>")
     paths = lambda rows: rows.select(F.explode(F.array(F.struct(F.lit("lang").alias("factor"), F.col("lang").alias("v")), F.struct(F.lit("source").alias("factor"), F.col("source").alias("v")))).alias("m")).filter("m.v is not null").select("m.factor", F.array(F.col("m.factor"), F.col("m.v")).alias("path"))
     tree = paths(docs).distinct().union(roots).withColumn("path_str", F.array_join("path", "/")).withColumn("level", F.size("path") - 1)

@@ -122,10 +122,8 @@ def evaluate(spark: SparkSession, rows: DataFrame, nodes: DataFrame, cfg: Config
     parts on; with a ``backend`` the critic gives scores and assignments where the configuration asks for them.
     """
     e = cfg.evaluation
-    kept, removed = similarity.dedupe(rows, "attempt_index", "record", e.ngram, str(e.threshold))
-    kept = materialise(kept)
     references = files.reference_texts(spark, e.reference_paths).withColumn("id", F.monotonically_increasing_id())
-    clean, gone = similarity.decontaminate(kept, "attempt_index", "record", materialise(references), "id", "text", e.ngram, str(e.threshold))
+    clean, removed, gone = similarity.dedupe_decontaminate(rows, "attempt_index", "record", materialise(references), "id", "text", e.ngram, str(e.threshold))
     clean = materialise(clean)
     ids = lambda d: [r["id"] for r in d.orderBy("id").collect()]
     report: dict[str, Any] = {"count": clean.count(), "dedupe": {"removed_ids": ids(removed)}, "decontamination": {"removed_ids": ids(gone)}}

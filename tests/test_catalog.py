@@ -58,3 +58,12 @@ def test_durations_are_summed_in_order(spark, tmp_path):
     con.execute("set threads = 1")
     con.execute(f"create view events as select * from read_parquet('{tmp_path}/events.parquet/*.parquet')")
     assert not differences(catalog.queries()["duration_text"](spark, str(tmp_path)), catalog.oracle_sql()["duration_text"], con)
+
+
+def test_evaluate_report_makes_ngrams_once(spark, tiny, monkeypatch):
+    from curatrix.operators import similarity
+
+    made = []
+    monkeypatch.setattr(similarity, "gram_sets", lambda *a, make=similarity.gram_sets: made.append(a[1]) or make(*a))
+    catalog.queries()["evaluate_report"](spark, tiny)
+    assert sorted(made) == ["doc_id", "item_id"]
